@@ -45,6 +45,8 @@ def fold(spark: SparkSession, store: str, names: dict[str, str], id_type: str, s
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+        #: There are many stores, most of them small: no disk is set aside for their logs in advance.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         session.conf.set(key, value)
