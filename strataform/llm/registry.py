@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secrets, url_filter
+from . import bpe, exact_dedup, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op2_url_filter": url_filter.op2,
     "op3_secret_scan": secrets.op3,
     "op7_bpe": bpe.op7,
+    "op10_simhash": simhash.op10,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_url_filter": url_filter.OP2_SQL}
