@@ -188,11 +188,16 @@ def variants(bits: list[int], t: int) -> list[int]:
 # Probing and verifying
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which signed fingerprints differ. (numpy counts the bits of a signed number's absolute value.)"""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def bucket_links(members: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     """A spanning forest of the links within ``members``: (member, least member of its component)."""
     left = np.unique(members)
     if len(left) <= MATRIX:
-        near = np.bitwise_count(left[:, None] ^ left[None, :]) <= most
+        near = differing(left[:, None], left[None, :]) <= most
         if int(near.sum()) == len(left):
             return []
     links = []
@@ -200,7 +205,7 @@ def bucket_links(members: np.ndarray, most: int = MOST) -> list[tuple[int, int]]
         root, front = left[0], [left[0]]
         left = left[1:]
         while front and len(left):
-            hit = np.bitwise_count(left ^ front.pop()) <= most
+            hit = differing(left, front.pop()) <= most
             if hit.any():
                 found = left[hit]
                 left = left[~hit]
@@ -209,7 +214,7 @@ def bucket_links(members: np.ndarray, most: int = MOST) -> list[tuple[int, int]]
     return links
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, fp), sorted by bucket, to links."""
     rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.int64)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -220,10 +225,10 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(bounds)
         pair = bounds[:-1][sizes == 2]
         a, b = fps[pair], fps[pair + 1]
-        ok = (np.bitwise_count(a ^ b) <= MOST) & (a != b)
+        ok = (differing(a, b) <= most) & (a != b)
         u, v = np.maximum(a, b)[ok].tolist(), np.minimum(a, b)[ok].tolist()
         for k in np.flatnonzero(sizes > 2):
-            for x, y in bucket_links(fps[bounds[k] : bounds[k + 1]]):
+            for x, y in bucket_links(fps[bounds[k] : bounds[k + 1]], most):
                 u.append(x)
                 v.append(y)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
@@ -252,7 +257,7 @@ def links(nodes: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
         "fp", F.when(F.col("blocks") == 1, F.array("bucket")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))).alias("keys")
     ).select(F.explode("keys").alias("bucket"), "fp")
     dealt = tasks.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(linked, "u long, v long").distinct()
+    return dealt.mapInArrow(lambda batches: linked(batches, most), "u long, v long").distinct()
 
 
 # Components
