@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from .shared import drop, remainder, scratch, ship, shuffle_width, table, written
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 KEEP = 5
 HOT = 200_000
-SLICE_PAIRS = 4 << 20
+SLICE_PAIRS = 1 << 20
 #: No word holds a space.
 END = b" "
 CHUNK, COUNT, WEIGHT, PAIR, MODEL, WORDS, SUMS = range(7)
@@ -90,7 +90,7 @@ def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def by_key(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each key, which come sorted by it."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
     return ((k, list(g)) for k, g in groupby(rows, key=lambda r: r[place]))
 
 
@@ -148,10 +148,9 @@ def tokenised(slices: int, id_kind: str):
 
         for b in batches:
             start = 0
-            flags, raw = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for k, text in enumerate(raw):
-                texts.append(text or b"")
-                trained.append(flags[k])
+            for k in range(b.num_rows):
+                texts.append(b.column(2)[k].as_py() or b"")
+                trained.append(b.column(1)[k].as_py())
                 size += len(texts[-1])
                 if size >= CHUNK_BYTES:
                     ids.append(b.column(0).slice(start, k + 1 - start))
