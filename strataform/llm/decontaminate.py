@@ -14,7 +14,8 @@ scores the threshold or more.
 Verification. What is retrieved counts as a leak if ``OVERLAP`` or more of the five-word shingles of the item's question
 and of its answer are in the passage. The answer is the last third of an item's words (or ``split`` says).
 
-Documents aren't shuffled. Memory is bounded by an Arrow batch and a shard's index.
+Documents aren't shuffled. Memory is bounded by an Arrow batch, what is made of ``PART_BYTES`` of its texts,
+and a shard's index.
 
 Defined results: a null or empty text or item matches nothing; an item of fewer than five words in question or answer is
 compared as one shingle of that length; items with equal texts and repeated rows are reported each for itself; null ids
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, table, written
+from .shared import fresh, in_parts, ship, table, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -228,7 +229,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = list(sent.value.leaks(b.column(1).to_pylist(), stride))
+                rows, start = [], 0
+                for part in in_parts(b.column(1).to_pylist()):
+                    rows += [(start + k, *x) for k, *x in sent.value.leaks(part, stride)]
+                    start += len(part)
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([own, pa.array([r[1] for r in rows], schema_kind(item_kind)), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, remainder, ship, table
+from .shared import fresh, in_parts, remainder, ship, table
 
 BUCKETS = 4096
 DIM = 48
@@ -38,8 +38,6 @@ SLICES = 64
 TRAIN_MOST = 12_000
 HIDDEN = 32
 FEATURES = 2 * DIM + 3
-#: Texts are worked on in parts of so many bytes.
-PART_BYTES = 4 << 20
 SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
@@ -107,19 +105,6 @@ def pooled(texts: list[bytes | None], index: np.ndarray, context: np.ndarray) ->
     return out
 
 
-def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    """The texts in order, in parts of ``PART_BYTES`` at most (or one text)."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text or b"") > PART_BYTES:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text or b"")
-    if part:
-        yield part
-
-
 @dataclass
 class Model:
     context: np.ndarray

@@ -10,11 +10,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: In Python, texts are worked on in parts of so many bytes, whatever the size of an Arrow batch.
+PART_BYTES = 4 << 20
 PACKAGE = __name__.split(".")[0]
 _shipped: set[str] = set()
 
@@ -91,5 +94,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """The texts in order, in parts of ``PART_BYTES`` at most (or one text)."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or b"") > PART_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or b"")
+    if part:
+        yield part
+
+
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
