@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, remainder, scratch, ship, shuffle_width, table, written
+from .shared import drop, large_blocks_apart, remainder, scratch, ship, shuffle_width, table, written
 
 CHUNK_BYTES = 8 << 20
 KEEP = 5
@@ -90,6 +90,7 @@ def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def by_key(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each key, which come sorted by it."""
+    large_blocks_apart()
     rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
     return ((k, list(g)) for k, g in groupby(rows, key=lambda r: r[place]))
 
@@ -134,6 +135,7 @@ def tokenised(slices: int, id_kind: str):
     """(id, trained, text) to chunks and word requests; a chunk's row has its ids as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large_blocks_apart()
         base, seq = TaskContext.get().partitionId() << 32, 0
         ids, trained, texts, size = [], [], [], 0
 
@@ -202,11 +204,14 @@ class Chunk:
         context[1:] = self.ids[:-1]
         context[0] = self.ids[-1]
         self.key = context * n + self.ids  # a text's last token is the end token, the context of the next text's first
-        train = np.repeat(self.flags, self.lengths)
-        order = np.sort(self.key * 2 + train)
+        del context
+        order = self.key * 2 + np.repeat(self.flags, self.lengths)
+        order.sort()
         first = np.flatnonzero(np.diff(order >> 1, prepend=-1))
         self.pairs = order[first] >> 1
-        self.times = np.add.reduceat(order & 1, first)
+        order &= 1
+        self.times = np.add.reduceat(order, first)
+        del order, first
         self.h, self.w = self.pairs // n, self.pairs % n
         salt = mixed(self.number[self.w]) % spread[self.h]
         self.slice = (mixed(self.number[self.h].astype(np.uint64) * np.uint64(1 << 20) + salt) % np.uint64(pair_slices)).astype(np.int32)

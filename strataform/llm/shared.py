@@ -6,11 +6,14 @@ laptop) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,5 +110,17 @@ def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
         yield part
 
 
+@lru_cache(maxsize=1)
+def large_blocks_apart() -> None:
+    """In a Python worker: gives freed arrays back to the system at once, where the C library is glibc.
+
+    Workers are used again by later tasks; without this, each keeps the memory of the largest it has had.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
