@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import fresh, in_parts, remainder, ship, table
 
-BUCKETS = 4096
+BUCKETS = 2048
 DIM = 48
 NONZERO = 6
 SLICES = 64
@@ -51,44 +51,52 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+class Numbers(dict):
+    """Numbers new keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def shape_of(word: bytes) -> bytes:
+    t = word.translate(SHAPE)
+    if not t.strip(b"a"):
+        return b"a"
+    return RUNS.sub(rb"\1", t)
+
+
 class Batch:
     """The words of some texts as numbers: word ids by place, each text's number of words, and the slots of each word."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
-        seen: dict[bytes, int] = {}
+        seen = Numbers()
         parts, self.n = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             words = (text or b"").split()
             self.n[k] = len(words)
-            parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+            parts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
         self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         digest = xxhash.xxh32_intdigest
-        self.slots = np.fromiter((x for w in seen for x in (digest(w) % BUCKETS, digest(RUNS.sub(rb"\1", w.translate(SHAPE)), 1) % BUCKETS)), np.int64, 2 * len(seen)).reshape(-1, 2)
+        shapes = Numbers()
+        shape = np.fromiter((shapes[shape_of(w)] for w in seen), np.int64, len(seen))
+        own = np.fromiter(map(digest, seen), np.int64, len(seen)) % BUCKETS
+        of_shape = np.fromiter((digest(x, 1) % BUCKETS for x in shapes), np.int64, len(shapes))
+        self.slots = np.stack([own, of_shape[shape]], axis=1) if len(seen) else np.empty((0, 2), np.int64)
         self.ends = np.cumsum(self.n)
 
 
-def context_sums(texts: list[bytes | None], index: np.ndarray, total: np.ndarray) -> None:
-    """Adds the index vectors of each word's neighbours to both its slots in ``total``."""
+def neighbours(texts: list[bytes | None], total: np.ndarray) -> None:
+    """Counts, for both slots of each word and of the next one, how often they stand side by side."""
     b = Batch(texts)
     if len(b.ids) < 2:
         return
-    vec = index[b.slots[:, 0]].astype(np.int16) + index[b.slots[:, 1]]
     inside = np.ones(len(b.ids) - 1, bool)
     inside[b.ends[(b.ends > 0) & (b.ends < len(b.ids))] - 1] = False
-    left, right = b.ids[:-1][inside], b.ids[1:][inside]
-    n = len(b.slots)
-    #: Sums for each distinct word first, then for its slots.
-    by_word = np.zeros((n, DIM), np.int32)
-    for own, other in ((left, right), (right, left)):
-        order = np.argsort(own, kind="stable")
-        own, other = own[order], other[order]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        for k in range(0, len(first), 1 << 15):
-            stop = first[k + (1 << 15)] if k + (1 << 15) < len(first) else len(own)
-            at = first[k : k + (1 << 15)]
-            by_word[own[at]] += np.add.reduceat(vec[other[at[0] : stop]], at - at[0], axis=0, dtype=np.int32)
-    for c in (0, 1):
-        np.add.at(total, b.slots[:, c], by_word)
+    left, right = b.slots[b.ids[:-1][inside]] * BUCKETS, b.slots[b.ids[1:][inside]]
+    for i in (0, 1):
+        for j in (0, 1):
+            total += np.bincount(left[:, i] + right[:, j], minlength=BUCKETS * BUCKETS)
 
 
 def pooled(texts: list[bytes | None], index: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -158,11 +166,14 @@ def contexts(docs: DataFrame) -> np.ndarray:
     """Normed context vectors of all slots, from all of ``docs`` (one column, the text as bytes)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((BUCKETS, DIM), np.int64)
+        total = np.zeros(BUCKETS * BUCKETS, np.int64)
         for b in batches:
             for part in in_parts(b.column(0).to_pylist()):
-                context_sums(part, index, total)
-        yield slices(total)
+                neighbours(part, total)
+        #: The sum of the neighbours' index vectors, for each slot.
+        beside = total.reshape(BUCKETS, BUCKETS)
+        index = index_vectors().astype(np.float64)  # whole numbers below 2 ** 53: exact, and as fast as can be
+        yield slices((beside @ index + beside.T @ index).astype(np.int64))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
