@@ -103,16 +103,24 @@ def dealt(df: DataFrame, key: str, n: int, run: Callable, ddl: str) -> DataFrame
 # A chunk of documents
 
 
+class Numbers(dict):
+    """Numbers new keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def read_chunk(texts: list[bytes], trained: list[bool], slices: int) -> tuple[list[tuple], tuple]:
     """The requests (slice, hashes, training counts, all counts), and the chunk (places, lengths, training flags).
 
     Words are numbered by slice, then by hash, so that answers laid end to end fit the numbers.
     """
-    seen: dict[bytes, int] = {END: 0}
+    seen = Numbers({END: 0})
     parts, lengths = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = text.lower().split()  # of bytes: A-Z alone, and [\x20\x09-\x0D] alone
-        ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         parts += [ids, np.zeros(1, np.int64)]
         lengths[k] = len(words) + 1
     ids = np.concatenate(parts)
