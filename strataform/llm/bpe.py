@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, table
+from .shared import fresh, ship, table, thrifty, values
 
 LEAF = 8192
 #: The longest contraction has three characters; the longest look-ahead is one.
@@ -129,7 +129,7 @@ def encoded(ranks, pattern: str, digests: bool):
         own = codec(ranks.value, pattern)
         for b in batches:
             n, first, second = [], [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in values(b.column(b.num_columns - 1)):
                 ids = own.encode(text or "")
                 n.append(len(ids))
                 raw = ids.astype("<u4").tobytes()
@@ -158,7 +158,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     ranks = spark.sparkContext.broadcast(vocabulary(path))
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(encoded(ranks, pattern, True), f"c0 {kind}, c1 long, c2 string, c3 string").toDF("id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.mapInArrow(thrifty(encoded(ranks, pattern, True)), f"c0 {kind}, c1 long, c2 string, c3 string").toDF("id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -169,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     n = len(docs.columns)
     rows = docs.select(*docs.columns, docs[text_col].cast("string").alias(fresh(docs, "sf_text")[0]))
     kinds = [f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)] + [f"c{n} long", f"c{n + 1} binary"]
-    return rows.mapInArrow(encoded(ranks, pattern, False), ", ".join(kinds)).toDF(*docs.columns, *fresh(docs, "n_tokens", "token_ids"))
+    return rows.mapInArrow(thrifty(encoded(ranks, pattern, False)), ", ".join(kinds)).toDF(*docs.columns, *fresh(docs, "n_tokens", "token_ids"))
 
 
 def decode_documents(encoded_docs: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -182,12 +182,12 @@ def decode_documents(encoded_docs: DataFrame, path: str, pattern: str, ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for b in batches:
-            made = [own.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(b.num_columns - 1).to_pylist()]
+            made = [own.decode(np.frombuffer(x or b"", "<u4")) for x in values(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], [f"c{k}" for k in range(b.num_columns)])
 
     n = len(encoded_docs.columns)
     kinds = [f"c{k} {t}" for k, (_, t) in enumerate(encoded_docs.dtypes)] + [f"c{n} binary"]
-    return encoded_docs.select(*encoded_docs.columns, F.col(ids_col).alias(name)).mapInArrow(run, ", ".join(kinds)).toDF(*encoded_docs.columns, name)
+    return encoded_docs.select(*encoded_docs.columns, F.col(ids_col).alias(name)).mapInArrow(thrifty(run), ", ".join(kinds)).toDF(*encoded_docs.columns, name)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, in_parts, ship, table, written
+from .shared import fresh, in_parts, ship, table, thrifty, values, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
             lists = [words_of(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(set(w)) for w in lists], pa.list_(pa.binary())), pa.array([len(w) for w in lists], pa.int64())], ["terms", "n"])
 
-    counted = items.select("text").mapInArrow(terms, "terms array<binary>, n long").where("n > 0")
+    counted = items.select("text").mapInArrow(thrifty(terms), "terms array<binary>, n long").where("n > 0")
     n, mean, longest = counted.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
     out = spark.createDataFrame([], ddl)
     if not n:
@@ -230,13 +230,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows, start = [], 0
-                for part in in_parts(b.column(1).to_pylist()):
+                for part in in_parts(values(b.column(1))):
                     rows += [(start + k, *x) for k, *x in sent.value.leaks(part, stride)]
                     start += len(part)
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([own, pa.array([r[1] for r in rows], schema_kind(item_kind)), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(docs.mapInArrow(run, ddl))
+        out = out.unionByName(docs.mapInArrow(thrifty(run), ddl))
     return out
 
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, large_blocks_apart, remainder, scratch, ship, shuffle_width, table, written
+from .shared import drop, remainder, scratch, ship, shuffle_width, table, thrifty, written
 
 CHUNK_BYTES = 8 << 20
 KEEP = 5
@@ -90,14 +90,13 @@ def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def by_key(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each key, which come sorted by it."""
-    large_blocks_apart()
     rows = (tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows))
     return ((k, list(g)) for k, g in groupby(rows, key=lambda r: r[place]))
 
 
 def dealt(df: DataFrame, key: str, n: int, run: Callable, ddl: str) -> DataFrame:
     other = "p" if key == "m" else "m"
-    return df.repartition(n, key).sortWithinPartitions(key, "kind", other).mapInArrow(run, ddl)
+    return df.repartition(n, key).sortWithinPartitions(key, "kind", other).mapInArrow(thrifty(run), ddl)
 
 
 # A chunk of documents
@@ -143,7 +142,6 @@ def tokenised(slices: int, id_kind: str):
     """(id, trained, text) to chunks and word requests; a chunk's row has its ids as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        large_blocks_apart()
         base, seq = TaskContext.get().partitionId() << 32, 0
         ids, trained, texts, size = [], [], [], 0
 
@@ -380,7 +378,7 @@ def scored(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     keep = ["kind", "m", "p", "a", "b", "c"]
     plain = lambda df, k: df.where(F.col("kind") == k).select(keep)
 
-    read = written(docs.mapInArrow(tokenised(slices, kind), f"{DDL}, ids array<{kind}>"), "chunks", at["chunks"])
+    read = written(docs.mapInArrow(thrifty(tokenised(slices, kind)), f"{DDL}, ids array<{kind}>"), "chunks", at["chunks"])
     words = written(dealt(plain(read, WORDS), "p", slices, word_counts, DDL), "words", at["words"])
     whole = lambda c, k: F.coalesce(F.sum(F.split(F.col(c).cast("string"), ",")[k].cast("long")), F.lit(0))
     n, v, every = plain(words, MODEL).select(whole("c", 0), whole("c", 1), whole("c", 2)).first()
@@ -393,7 +391,7 @@ def scored(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     discount = discounts(of)
     release(spark)
 
-    sums = plain(pairs, MODEL).mapInArrow(context_sums(slices, discount, n, v), DDL)
+    sums = plain(pairs, MODEL).mapInArrow(thrifty(context_sums(slices, discount, n, v)), DDL)
     back = written(dealt(sums.unionByName(plain(words, COUNT)), "p", slices, weights, DDL), "weights", at["weights"])
     release(spark)
 

@@ -20,7 +20,7 @@ score is 0.5; an empty table gives an empty result; other columns are ignored (`
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, in_parts, remainder, ship, table
+from .shared import fresh, in_parts, remainder, ship, table, thrifty, values
 
 BUCKETS = 2048
 DIM = 48
@@ -127,7 +127,7 @@ class Model:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(((x - self.mean) / self.spread) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
-    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+    def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
         index = index_vectors()
         z = [self.logits(pooled(part, index, self.context).astype(np.float64)) for part in in_parts(texts)]
         return 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.empty(0)]) / self.temperature, -30, 30)))
@@ -168,7 +168,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * BUCKETS, np.int64)
         for b in batches:
-            for part in in_parts(b.column(0).to_pylist()):
+            for part in in_parts(values(b.column(0))):
                 neighbours(part, total)
         #: The sum of the neighbours' index vectors, for each slot.
         beside = total.reshape(BUCKETS, BUCKETS)
@@ -186,7 +186,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "sums"])
 
     ddl = "slice long, sums binary"
-    rows = docs.mapInArrow(sums, ddl).repartition("slice").mapInArrow(added, ddl).collect()
+    rows = docs.mapInArrow(thrifty(sums), ddl).repartition("slice").mapInArrow(thrifty(added), ddl).collect()
     total = np.zeros((BUCKETS, DIM))
     for r in rows:
         total.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["sums"], np.int64)
@@ -206,11 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_most: int = TRAIN_MOST) -> Mod
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [r for part in in_parts(b.column(2).to_pylist()) for r in pooled(part, index_vectors(), sent.value)]
+            x = [r for part in in_parts(values(b.column(2))) for r in pooled(part, index_vectors(), sent.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "order", "x"])
 
     #: At most train_most rows of two numbers.
-    found = rows.join(F.broadcast(chosen), "doc_id").select("label", "order", "text").mapInArrow(features, "label double, order long, x binary")
+    found = rows.join(F.broadcast(chosen), "doc_id").select("label", "order", "text").mapInArrow(thrifty(features), "label double, order long, x binary")
     got = sorted(found.collect(), key=lambda r: (r["order"], r["label"], bytes(r["x"])))
     if not got:
         return Model(context, np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
@@ -226,11 +226,11 @@ def scored(docs: DataFrame, model: Model, text_col: str, to: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())], [f"c{k}" for k in range(b.num_columns)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.scores(values(b.column(b.num_columns - 1))), pa.float64())], [f"c{k}" for k in range(b.num_columns)])
 
     rows = docs.select(*docs.columns, F.col(text_col).cast("string").cast("binary").alias(to))
     kinds = [f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)] + [f"c{len(docs.columns)} double"]
-    return rows.mapInArrow(run, ", ".join(kinds)).toDF(*docs.columns, to)
+    return rows.mapInArrow(thrifty(run), ", ".join(kinds)).toDF(*docs.columns, to)
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import ship, table
+from .shared import ship, table, thrifty, values
 
 KINDS = ("assign", "access", "hex", "guess")
 #: "Letters there in either case" are ASCII letters.
@@ -108,7 +108,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text in b.column(1).to_pylist():
+        for text in values(b.column(1)):
             base = base_spans(text) if text else []
             more = guess_spans(text, base) if text else []
             n = [0, 0, 0]
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """For each row: id, n_assign, n_access, n_hex, base_sha256, spans."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(scanned, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(thrifty(scanned), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

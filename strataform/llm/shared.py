@@ -12,10 +12,11 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+def values(column: pa.Array) -> Iterator:
+    """The column's values, made into Python's a few at a time."""
+    for k in range(0, len(column), 128):
+        yield from column.slice(k, 128).to_pylist()
+
+
+def in_parts(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
     """The texts in order, in parts of ``PART_BYTES`` at most (or one text)."""
     part, size = [], 0
     for text in texts:
@@ -111,15 +118,30 @@ def in_parts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
 
 
 @lru_cache(maxsize=1)
-def large_blocks_apart() -> None:
-    """In a Python worker: gives freed arrays back to the system at once, where the C library is glibc.
+def _libc() -> ctypes.CDLL:
+    libc = ctypes.CDLL(None)
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks go back to the system when they are freed
+    return libc
+
 
-    Workers are used again by later tasks; without this, each keeps the memory of the largest it has had.
+def thrifty(run: Callable) -> Callable:
+    """For what runs in Python workers: memory that it no longer needs goes back to the system.
+
+    Workers are used again by later tasks; without this, each keeps the memory of the largest it has had. (Where the C
+    library isn't glibc, nothing is done.)
     """
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+    def held(batches: Iterator) -> Iterator:
+        with contextlib.suppress(OSError, AttributeError):
+            _libc()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                _libc().malloc_trim(0)
+
+    return held
 
 
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, table, written
+from .shared import fresh, ship, table, thrifty, values, written
 
 MOST = 3
 SHINGLE = 3
@@ -77,8 +77,10 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         known: dict[bytes, int] = {}
         made = []
-        for text in b.column(b.num_columns - 1).to_pylist():
+        for text in values(b.column(b.num_columns - 1)):
             text = text or b""
+            if len(known) > 256:
+                known.clear()
             if text not in known:
                 known[text] = signed(fingerprint(text))
             made.append(known[text])
@@ -89,7 +91,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, to: str) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(*docs.columns, F.col(text_col).cast("string").cast("binary").alias(to))
     kinds = [f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)] + [f"c{len(docs.columns)} long"]
-    return rows.mapInArrow(fingerprinted, ", ".join(kinds)).toDF(*docs.columns, to)
+    return rows.mapInArrow(thrifty(fingerprinted), ", ".join(kinds)).toDF(*docs.columns, to)
 
 
 # Parts and thresholds
@@ -154,7 +156,7 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
 
 def plan(nodes: DataFrame, most: int = MOST) -> list[tuple[int, list[int], int]]:
     """(mask, bits, threshold) of each part that is probed. ``nodes`` has the distinct fingerprints in ``fp``."""
-    sums = {r["cell"]: r["n"] for r in nodes.select("fp").mapInArrow(bit_sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["cell"]: r["n"] for r in nodes.select("fp").mapInArrow(thrifty(bit_sums), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     n = sums.get(4096, 0)
     both = np.array([sums.get(k, 0) for k in range(4096)], np.float64).reshape(64, 64)
     p = np.diag(both) / max(n, 1)
@@ -257,7 +259,7 @@ def links(nodes: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
         "fp", F.when(F.col("blocks") == 1, F.array("bucket")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))).alias("keys")
     ).select(F.explode("keys").alias("bucket"), "fp")
     dealt = tasks.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda batches: linked(batches, most), "u long, v long").distinct()
+    return dealt.mapInArrow(thrifty(lambda batches: linked(batches, most)), "u long, v long").distinct()
 
 
 # Components

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import drop, scratch, ship, shuffle_width, table, written
+from .shared import drop, scratch, ship, shuffle_width, table, thrifty, values, written
 
 FILE_TOKENS = 64 << 20
 BLOCK_TOKENS = 4 << 20
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, separato
         end = np.array([separator], f"<u{width}").tobytes()
         for b in batches:
             files, ordinals = [], []
-            for text in b.column(1).to_pylist():
+            for text in values(b.column(1)):
                 if out is None or size >= file_tokens:
                     if out is not None:
                         out.close()
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, separato
         if out is not None:
             out.close()
 
-    return written(docs.mapInArrow(run, f"file string, ordinal long, id {kind}"), "ordinals")
+    return written(docs.mapInArrow(thrifty(run), f"file string, ordinal long, id {kind}"), "ordinals")
 
 
 def block_counts(ids: np.ndarray, separator: int) -> tuple[list[int], int]:
@@ -100,8 +100,8 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, width: int = 2, b
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k]), pa.array([counts], pa.list_(pa.int64())), pa.array([tail])], ["file", "block", "counts", "tail"])
 
     n = shuffle_width(spark)
-    named = files.repartition(n, files.columns[0]).mapInArrow(blocks, "file string, block long")
-    seen = named.repartition(n, "file", "block").mapInArrow(scan, "file string, block long, counts array<long>, tail long")
+    named = files.repartition(n, files.columns[0]).mapInArrow(thrifty(blocks), "file string, block long")
+    seen = named.repartition(n, "file", "block").mapInArrow(thrifty(scan), "file string, block long, counts array<long>, tail long")
     by_file = Window.partitionBy("file").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     summary = seen.withColumn("base", F.coalesce(F.sum(F.size("counts").cast("long")).over(before), F.lit(0)))

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, scratch, ship, shuffle_width, table, written
+from .shared import drop, scratch, ship, shuffle_width, table, thrifty, values, written
 
 LEAST = 1000
 FILE_MOST = 128 << 20
@@ -223,7 +223,7 @@ def read_files(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa
 def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     """``files`` has paths in its first column. A row for each record, and one with ``gap`` for each range of lost bytes."""
     ship(files.sparkSession)
-    return files.mapInArrow(lambda batches: read_files(batches, payloads), DDL)
+    return files.mapInArrow(thrifty(lambda batches: read_files(batches, payloads)), DDL)
 
 
 # Writing
@@ -253,7 +253,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             made[-1][2] = size
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in zip(*(values(c) for c in b.columns), strict=True):
                 if out is None or size >= FILE_MOST:
                     if out is not None:
                         close()
@@ -268,7 +268,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             close()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["file", "records", "bytes"])
 
-    return written(rows.mapInArrow(run, "file string, records long, bytes long"), "manifest")
+    return written(rows.mapInArrow(thrifty(run), "file string, records long, bytes long"), "manifest")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
