@@ -99,7 +99,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that stay, with all columns of ``docs``."""
     store, dealt, added, _ = groups(docs, id_col, text_col)
     kept = written(dealt.where("kept").select(F.col("row").alias(added["row"])), "kept")
-    return store.join(kept, added["row"], "left_semi").select(*docs.columns)
+    #: Most rows stay, so this side grows with the table: a merge join at every size, never a broadcast.
+    return store.join(kept.hint("merge"), added["row"], "left_semi").select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,4 +315,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = written(classes(small, most), "classes")
     best = small.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     kept = written(label.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)), "kept")
-    return store.join(kept, row, "left_semi").select(*docs.columns)
+    #: Most rows stay, so this side grows with the table: a merge join at every size, never a broadcast.
+    return store.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
