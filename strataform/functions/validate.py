@@ -82,9 +82,9 @@ def scalar_checks(schema: Schema, c: Column) -> list[tuple[Column, str, str]]:
         elif name == "finite":
             out.append((~nan & (F.abs(c.cast("double")) != float("inf")), "not_finite", "a finite number"))
         elif name == "safe":
-            out.append((~nan & (F.abs(c.cast("double")) <= 2**53 - 1) & (F.floor(c.cast("double")) == c), "not_safe", "a safe integer"))
+            out.append((~nan & (F.abs(c.cast("double")) <= 2**53 - 1) & (c.cast("double") % 1 == 0), "not_safe", "a safe integer"))
         elif name == "int32":
-            out.append((~nan & c.between(-(2**31), 2**31 - 1) & (F.floor(c.cast("double")) == c), "invalid_int32", "a 32-bit integer"))
+            out.append((~nan & c.between(-(2**31), 2**31 - 1) & (c.cast("double") % 1 == 0), "invalid_int32", "a 32-bit integer"))
         elif name == "float32":
             out.append((nan | (c.cast("float").cast("double") == c.cast("double")), "invalid_float32", "a 32-bit float"))
         elif name == "float64":
@@ -297,7 +297,7 @@ def inner(schema: Schema, c: Column, kind: T.DataType, path: Column) -> tuple[Co
         c = changed(schema, c)
         typed = F.lit(True)
         if k == "int" and isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            typed = two_valued(~F.isnan(c.cast("double")) & (F.floor(c.cast("double")) == c))
+            typed = two_valued(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")) & (c.cast("double") % 1 == 0))
         if k == "template_literal":
             typed = c.rlike(literal_template(schema.items))
         ok, issues = checked(schema, c, path)

@@ -11,6 +11,7 @@ import datetime as dt
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
@@ -90,7 +91,9 @@ def encode_value(x: Schema, v: Any, out: bytearray) -> None:
 
 def decode_value(x: Schema, b: memoryview, at: int) -> tuple[Any, int]:
     k = x.kind
-    fixed = {"number": "<d", "int": "<i", "bigint": "<q"}
+    fixed = {"number": "<d", "int": "<i"}
+    if k == "bigint":
+        return Decimal(struct.unpack_from("<q", b, at)[0]), at + 8
     if k in fixed:
         return struct.unpack_from(fixed[k], b, at)[0], at + struct.calcsize(fixed[k])
     if k == "boolean":

@@ -57,7 +57,7 @@ def read_array(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
 
 
 def quoted(c: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1))
 
 
 def number_text(c: Column) -> Column:
