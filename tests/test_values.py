@@ -156,7 +156,7 @@ def test_snapshots(spark):
 
 
 def test_rowset(spark):
-    shape = s.object(id=s.int(), x=s.number())
+    shape = s.object(id=s.int(), x=s.number().nullable())
     rows = Rowset.load(spark, shape, [{"id": 1, "x": 1.0}, {"id": 2, "x": None}])
     assert rows.query(query(rows.df).sum("x")).first()[0] == 1.0 and rows.hydrate(1)[0]["id"] == 1
     rows.release()
