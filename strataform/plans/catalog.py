@@ -11,9 +11,10 @@ from ..functions import text, validate, values
 from ..functions.predicates import Conditions as P
 from ..functions.predicates import compile_predicate
 from ..operators import collection, mapping, sequence, snapshots
+from ..operators.model import model
 from ..sources import codec, jsonio
 from ..sources.rowset import Rowset, process
-from .ordinal import ordered
+from .ordinal import numbered, ordered
 from .query import query
 from .schema import s
 
@@ -258,31 +259,33 @@ def hash_object(spark, d):
     return load(spark, d, "nation").select("n_nationkey", values.hash31(shape, F.struct("n_nationkey", "n_regionkey")).alias("h"))
 
 
-def halves(spark, d):
+def moved(spark, d):
+    """All orders, and all orders with each key moved on by a hundred: keys come and go, the others change their values."""
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return ordered(o.where("o_orderkey % 3 <> 0"), "o_orderkey"), ordered(o.where("o_orderkey % 3 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "o_orderkey")
+    return ordered(o, "o_orderkey"), ordered(o.withColumn("o_orderkey", F.col("o_orderkey") + 100), "o_orderkey")
 
 
-@named("watch_new", "select o_orderkey from orders where o_orderkey % 3 = 0")
+@named("watch_new", "select o_orderkey + 100 as o_orderkey from orders where o_orderkey + 100 not in (select o_orderkey from orders)")
 def watch_new(spark, d):
-    return snapshots.watch(*halves(spark, d), "o_orderkey").new.select("o_orderkey")
+    return snapshots.watch(*moved(spark, d), "o_orderkey").new.select("o_orderkey")
 
 
-@named("watch_removed", "select o_orderkey from orders where o_orderkey % 3 = 1")
+@named("watch_removed", "select o_orderkey from orders where o_orderkey not in (select o_orderkey + 100 from orders)")
 def watch_removed(spark, d):
-    return snapshots.watch(*halves(spark, d), "o_orderkey").removed.select("o_orderkey")
+    return snapshots.watch(*moved(spark, d), "o_orderkey").removed.select("o_orderkey")
 
 
-@named("watch_updated", "select o_orderkey, o_totalprice as was, o_totalprice + 1 as now from orders where o_orderkey % 3 = 2 and o_orderkey % 5 = 0")
+@named("watch_updated", "select p.o_orderkey, p.o_totalprice as was, c.o_totalprice as now from orders p join orders c on p.o_orderkey = c.o_orderkey + 100 where p.o_custkey is distinct from c.o_custkey or p.o_totalprice is distinct from c.o_totalprice")
 def watch_updated(spark, d):
-    return snapshots.watch(*halves(spark, d), "o_orderkey").updated.select("current.o_orderkey", F.col("previous.o_totalprice").alias("was"), F.col("current.o_totalprice").alias("now"))
+    return snapshots.watch(*moved(spark, d), "o_orderkey").updated.select("current.o_orderkey", F.col("previous.o_totalprice").alias("was"), F.col("current.o_totalprice").alias("now"))
 
 
-@named("watched_list", "select c_custkey from customer where c_custkey % 2 = 0 and c_custkey % 4 <> 0 union all select c_custkey from customer where c_custkey % 3 = 0 and c_custkey % 2 = 1")
+@named("watched_list", "select c_custkey from (select c_custkey from customer union select c_custkey + 100 from customer) where c_custkey not in (select c_custkey from customer where c_acctbal < 0)")
 def watched_list(spark, d):
-    c = load(spark, d, "customer").select("c_custkey", "c_name")
-    log = c.where("c_custkey % 4 = 0").select(F.lit("remove").alias("op"), "*").unionByName(c.where("c_custkey % 3 = 0 and c_custkey % 2 = 1").select(F.lit("add").alias("op"), "*"))
-    return snapshots.replay(ordered(c.where("c_custkey % 2 = 0"), "c_custkey"), ordered(log, "c_custkey"), "c_custkey")[0].select("c_custkey")
+    """All customers; a log adds all of them again with keys moved on by a hundred, then removes those in debt."""
+    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    log = c.withColumn("c_custkey", F.col("c_custkey") + 100).withColumn("op", F.lit("add")).unionByName(c.where("c_acctbal < 0").withColumn("op", F.lit("remove")))
+    return snapshots.replay(ordered(c, "c_custkey"), ordered(log, "op", "c_custkey"), "c_custkey")[0].select("c_custkey")
 
 
 @named("validate_issues", "select c_custkey, list_filter([case when not (c_custkey > 0) then 'c_custkey:too_small' end, case when not (c_acctbal >= 0) then 'c_acctbal:too_small' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY') then 'c_mktsegment:invalid_value' end], lambda x: x is not null) as issues from customer")
@@ -423,6 +426,34 @@ def dto_from(spark, d):
     return mapping.dto(CUSTOMER, CUSTOMER.pick("c_custkey", "c_name")).from_(load(spark, d, "customer"))
 
 
+SHOP = model(s.object(o_orderkey=s.int(), o_custkey=s.int(), o_totalprice=s.number()).hint("unique_by", "o_custkey").hint("group_by", "o_custkey").hint("sort_by", "o_totalprice"))
+
+
+@named("model_unique_by", "select o_orderkey, o_custkey from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1")
+def model_unique_by(spark, d):
+    """The key comes from the schema's hint."""
+    return SHOP.unique_by(ordered(load(spark, d, "orders"), "o_orderkey")).frame.select("o_orderkey", "o_custkey")
+
+
+@named("model_group_by", "select o_custkey, list(o_orderkey order by o_orderkey) as keys from orders group by 1")
+def model_group_by(spark, d):
+    grouped = SHOP.group_by(ordered(load(spark, d, "orders"), "o_orderkey"))
+    return grouped.select("o_custkey", F.transform("items", lambda x: x["o_orderkey"]).alias("keys"))
+
+
+@named("model_sort_by", "select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) - 1 as place from orders")
+def model_sort_by(spark, d):
+    """Sorted by the hint's key; the row numbers show the order."""
+    return numbered(SHOP.sort_by(ordered(load(spark, d, "orders"), "o_orderkey"))).select("o_orderkey", F.col("_n").alias("place"))
+
+
+@named("model_hash", "select n_nationkey, cast(case when h >= 2147483648 then h - 4294967296 else h end as integer) as h from (select n_nationkey, ((23 * 31 + n_nationkey) * 31 + n_regionkey) & 4294967295 as h from nation)")
+def model_hash(spark, d):
+    shape = model(s.object(n_nationkey=s.int(), n_regionkey=s.int()), "hash")
+    n = load(spark, d, "nation")
+    return n.select("n_nationkey", shape.hash(F.struct("n_nationkey", "n_regionkey")).alias("h"))
+
+
 @named("pipe_coerce", "select o_orderkey, cast(o_orderkey as double) * 2 as v from orders")
 def pipe_coerce(spark, d):
     shape = s.object(o_orderkey=s.int(), v=s.number().coerce().pipe(lambda c: c * 2))

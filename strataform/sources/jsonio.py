@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.validate import compile_schema
@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str, schema: Schema, fail_fast: bool =
     Lines are numbered file by file without a single-partition window.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("at", F.monotonically_increasing_id())
-    counted = numbered(ordered(raw.select("file", "block", "at", "value"), "file", "at"))
+    counted = numbered(ordered(raw, "file", "block", "at"))
     first = counted.groupBy("file").agg(F.min("_n").alias("_first"))
     lines = counted.join(first, "file").select("file", (F.col("_n") - F.col("_first")).alias("line"), F.col("value").alias("json")).where(F.trim("json") != "")
     made = parse_json(lines, schema)
@@ -110,6 +110,7 @@ def chunks(df: DataFrame, schema: Schema, by: str, chunk_chars: int = 16 * 1024)
     ends = scan(o, "sum", "_size").df.select(F.col("value").alias("_end"), F.col("_o0").alias("_n"))
     rows = numbered(o).select("_n", "_t", "_size").join(ends, "_n").withColumn("chunk", F.floor((F.col("_end") - F.col("_size")) / chunk_chars).cast("long"))
     joined = rows.groupBy("chunk").agg(F.min("_n").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]), ",").alias("_text"))
-    edge = Window.orderBy("chunk")
-    last = F.lead("chunk").over(edge).isNull()
+    #: One row.
+    joined = joined.join(F.broadcast(rows.agg(F.max("chunk").alias("_last"))))
+    last = F.col("chunk") == F.col("_last")
     return joined.select("chunk", F.concat(F.when(F.col("_first") == 0, F.lit("[")).otherwise(F.lit(",")), "_text", F.when(last, F.lit("]")).otherwise(F.lit(""))).alias("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.validate import safe_parse, whole_row
+from ..operators.sequence import count_of
 from ..plans.schema import Schema
 
 
@@ -66,6 +67,36 @@ def pairwise_by_key(stream: DataFrame, key: str, order: str, field: str) -> Data
     return stream.groupBy(key).applyInPandasWithState(run, ddl, f"prev {kinds[field]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def _groups(stream: DataFrame, key: str, order: str, field: str, n: int, step: int) -> DataFrame:
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        held = list(state.get[0]) if state.exists else []
+        at, out = [], []
+        for place, x in zip(rows[order], rows[field].tolist(), strict=True):
+            held.append(x)
+            if len(held) == n:
+                at.append(place)
+                out.append(list(held))
+                del held[:step]
+        state.update((held,))
+        yield pd.DataFrame({key: [k[0]] * len(out), order: at, "items": out})
+
+    ddl = f"{key} {kinds[key]}, {order} {kinds[order]}, items array<{kinds[field]}>"
+    return stream.groupBy(key).applyInPandasWithState(run, ddl, f"held array<{kinds[field]}>", "append", GroupStateTimeout.NoTimeout)
+
+
+def chunk_by_key(stream: DataFrame, key: str, order: str, field: str, n: int) -> DataFrame:
+    """(key, order of the last, items): every ``n`` values of a key; what is over waits in the state for more."""
+    return _groups(stream, key, order, field, count_of(n, 1), n)
+
+
+def window_by_key(stream: DataFrame, key: str, order: str, field: str, n: int) -> DataFrame:
+    """(key, order of the last, items): every ``n`` values that follow each other in a key; the state has ``n - 1`` at most."""
+    return _groups(stream, key, order, field, count_of(n, 1), 1)
+
+
 def aggregated(stream: DataFrame, key: str, field: str) -> DataFrame:
     """sum, count, avg, min and max of each key, kept up to date."""
     return stream.groupBy(key).agg(F.coalesce(F.sum(field), F.lit(0)).alias("sum"), F.count(F.lit(1)).alias("count"), F.avg(field).alias("avg"), F.min(field).alias("min"), F.max(field).alias("max"))

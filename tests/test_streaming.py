@@ -21,6 +21,10 @@ def test_streams(spark, tmp_path):
     assert sorted(r["value"] for r in sums if r["key"] == "a") == [0, 1, 3]
     pairs = run(spark, S.pairwise_by_key(source(), "key", "n", "x"), "pairs")
     assert sorted((r["prev"], r["cur"]) for r in pairs if r["key"] == "b") == [(0, 1), (1, 2)]
+    windows = run(spark, S.window_by_key(source(), "key", "n", "x", 2), "windows")
+    assert sorted(r["items"] for r in windows if r["key"] == "a") == [[0, 1], [1, 2]]
+    chunks = run(spark, S.chunk_by_key(source(), "key", "n", "x", 2), "chunks")
+    assert sorted((r["key"], r["items"]) for r in chunks) == [("a", [0, 1]), ("b", [0, 1])]
     assert len(run(spark, S.unique(source(), "key"), "first")) == 2
     totals = run(spark, S.aggregated(source(), "key", "x"), "totals", "complete")
     assert {r["key"]: r["sum"] for r in totals} == {"a": 3, "b": 3}

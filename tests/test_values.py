@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataform.functions import text, validate, values
 from strataform.functions.formats import FORMATS, anchored, source_of
 from strataform.operators import mapping, snapshots
+from strataform.operators.model import model
 from strataform.plans.errors import EngineError
 from strataform.plans.ordinal import ordered
 from strataform.plans.schema import s
@@ -160,3 +161,34 @@ def test_rowset(spark):
     rows = Rowset.load(spark, shape, [{"id": 1, "x": 1.0}, {"id": 2, "x": None}])
     assert rows.query(query(rows.df).sum("x")).first()[0] == 1.0 and rows.hydrate(1)[0]["id"] == 1
     rows.release()
+
+
+def test_model(spark):
+    shape = s.object(id=s.int(), name=s.string().pii("mask")).hint("index_by", "id")
+    m = model(shape)
+    o = ordered(spark.createDataFrame([(1, 1, "Ada"), (2, 2, "Grace Hopper"), (3, 1, "Ada v2")], "at int, id long, name string"), "at")
+    assert sorted(r["name"] for r in m.unique_by(o).frame.collect()) == ["Ada", "Grace Hopper"]
+    assert sorted(r["name"] for r in m.normalize(o)[0].collect()) == ["Ada v2", "Grace Hopper"]
+    assert [r["at"] for r in m.sort_by(o, "name", "desc").df.orderBy("_o0", "_o1").collect()] == [2, 3, 1]
+    row = F.struct("id", "name")
+    got = o.df.orderBy("at").select(m.mask(row).alias("m"), m.update(row, {"name": "x"}).alias("u"), m.update(row, lambda d: setattr(d, "id", 9)).alias("d"), m.equal(row, m.clone(row)).alias("e")).collect()
+    assert [(r["m"]["name"], r["u"]["name"], r["d"]["id"], r["e"]) for r in got][1] == ("***pper", "x", 9, True)
+    assert m.query().filter(lambda p: p.gt("id", 1)).count().run(o).first()[0] == 1
+    assert m.hash is m.hash
+    for wrong in (lambda: m.sort_by(o), lambda: m.group_by(o, "none"), lambda: model(shape, "hash").equal(row, row), lambda: model(shape, "fly")):
+        with pytest.raises(EngineError):
+            wrong()
+    with pytest.raises(AttributeError):
+        m.fly  # noqa: B018
+
+
+def test_lines_of_a_split_file(spark, tmp_path):
+    (tmp_path / "many.ndjson").write_text("".join(f'{{"id": {k}}}\n' for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        got = jsonio.read_lines(spark, str(tmp_path / "many.ndjson"), s.object(id=s.int())).select("line", "data.id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, got)) == [(k, k) for k in range(3000)]
