@@ -12,7 +12,9 @@ item's score. Passages with a block over the threshold are searched by block-max
 scores the threshold or more.
 
 Verification. What is retrieved counts as a leak if ``OVERLAP`` or more of the five-word shingles of the item's question
-and of its answer are in the passage. The answer is the last third of an item's words (or ``split`` says).
+and of its answer are in the passage, or of the whole item: a word changed in a short answer takes most of the answer's
+shingles with it, and the item is still there. A question alone is none. The answer is the last third of an item's words
+(or ``split`` says).
 
 Documents aren't shuffled. Memory is bounded by an Arrow batch, what is made of ``PART_BYTES`` of its texts,
 and a shard's index.
@@ -185,7 +187,7 @@ class Index:
             for item, score in self.search(terms[terms >= 0].tolist()):
                 own, cut = self.items[item][1], self.splits[item]
                 q, a = overlap(own[:cut], words[k][at]), overlap(own[cut:], words[k][at])
-                if q >= OVERLAP and a >= OVERLAP:
+                if min(q, a) >= OVERLAP or overlap(own, words[k][at]) >= OVERLAP:
                     best[k, item] = max(best.get((k, item), (0.0, 0.0, 0.0)), (score, q, a))
         for (k, item), x in sorted(best.items()):
             yield k, self.items[item][0], *x

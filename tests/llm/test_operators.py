@@ -323,6 +323,16 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(empty.select("doc_id", "text"), bench).count() == 0 == decontaminate.leaks(df, bench.where("false")).count()
 
 
+def test_leaks_with_a_changed_word(spark):
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"v{k}" for k in range(40)))], "item_id long, text string")
+    around = lambda part: " ".join(["before"] * 200 + part + ["after"] * 200)
+    changed = {k: [*words[:at], "other", *words[at + 1 :]] for k, at in enumerate((0, 5, 20, 33, 39))}
+    rows = [(k, around(w)) for k, w in changed.items()] + [(10, around(words[:27])), (11, around(words[27:])), (12, around(words[:27] + [f"v{k}" for k in range(27, 40)])), (13, around([w for w in words for _ in (0, 1)]))]
+    got = {(r["id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, 1) for k in changed}
+
+
 def test_block_max_wand_finds_all():
     random.seed(8)
     items = [(k, [f"w{random.randint(0, 80)}".encode() for _ in range(random.randint(3, 30))]) for k in range(100)]
