@@ -8,7 +8,9 @@ after ``FILE_MOST`` bytes; the manifest has only the files of tasks that ended w
 Reading. Each file is read record by record, from a gzip member or a bare version line. A record is checked: its member's
 checksum, version line, lengths, end, block digest and payload digest. After a failed check the reader searches for the
 next member or version line whose record passes, goes on from there, and gives the gap as a row of its own: file, first
-byte, end, reason. Memory is bounded by the largest record and a window of the file.
+byte, end, reason. Memory is bounded by the largest record and a window of
+the file, or what lies between a bare version line and the next end of a header. A header may have any length. ``op4`` fails
+if it doesn't read as many records as it wrote.
 
 Defined results: a null html is an empty payload; a null page_id is smaller than any other, and a null url is written as
 a URN; of equal payloads, all rows that have the largest page_id are responses (repeated rows repeat their result); an
@@ -35,7 +37,8 @@ from .shared import drop, scratch, ship, shuffle_width, table, thrifty, values,
 LEAST = 1000
 FILE_MOST = 128 << 20
 WINDOW = 1 << 20
-HEADER_MOST = 1 << 20
+#: Of a bare record, so much is searched first for the end of its header.
+HEADER_FIRST = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -118,8 +121,12 @@ class Reader:
 
     def parsed(self, data: bytes, start: int, end: int | None) -> Record:
         """The record in ``data``; ``end``: of its member, None for a bare record."""
-        head = data.find(b"\r\n\r\n", 0, HEADER_MOST)
-        if not data.startswith(VERSION) or head < 0:
+        head = data.find(b"\r\n\r\n") if data.startswith(VERSION) else -1
+        while end is None and head < 0 and data.startswith(VERSION) and start + len(data) < self.size:  # a long header
+            seen = len(data)
+            data = self.bytes_at(start, min(self.size - start, 2 * seen))
+            head = data.find(b"\r\n\r\n", max(seen - 3, 0))
+        if head < 0:
             raise Bad("no version line and header")
         headers = {}
         for line in data[:head].decode("utf-8", "replace").split("\r\n")[1:]:
@@ -143,7 +150,7 @@ class Reader:
 
     def record_at(self, start: int) -> Record:
         if self.bytes_at(start, 3) != MAGIC:
-            return self.parsed(self.bytes_at(start, min(self.size - start, HEADER_MOST)), start, None)
+            return self.parsed(self.bytes_at(start, min(self.size - start, HEADER_FIRST)), start, None)
         z, out, at, first = zlib.decompressobj(31), [], start, True
         while not z.eof:
             raw = self.bytes_at(at, min(1 << 16, self.size - at))
@@ -281,7 +288,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
     records = read_archives(files, payloads=False).where("gap is null")
     out = written(records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")), "op4")
+    wrote, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], out.count()
     drop(spark, folder)
+    if wrote != read:
+        raise RuntimeError(f"op4 wrote {wrote} records and read {read}")
     return out
 
 
