@@ -1,7 +1,7 @@
 """What the operators share: the cluster's shared folder, written tables, row stores and small helpers.
 
-The shared folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-laptop) a temporary folder takes its place.
+The shared folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master
+is local (tests, a laptop) a temporary folder takes its place; elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 
 #: In Python, texts are worked on in parts of so many bytes, whatever the size of an Arrow batch.
 PART_BYTES = 4 << 20
+#: A key with more than one in so many rows is hot, if it has more than ``HOT_LEAST``.
+HOT_SHARE = 10_000
+HOT_LEAST = 1000
+#: So many short rows are sent to all tasks at most.
+SENT = 200_000
 PACKAGE = __name__.split(".")[0]
 _shipped: set[str] = set()
+_open: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,13 +39,28 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataform-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/strataform-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; see ``tidied``."""
+    at = f"{shared_root(spark)}/strataform-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(at)
+    return at
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the scratch folders that were named inside; what outlives it is named before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_open.pop())
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -93,6 +114,21 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(by), F.lit(0)).cast("int")
 
 
+def hot_from(total: int) -> int:
+    """Keys with more rows than this are hot; there are fewer than ``HOT_SHARE`` of them."""
+    return max(total // HOT_SHARE, HOT_LEAST)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Hot keys' rows stay where they are, and what belongs to them is sent; the others are shuffled by key.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) > hot_from(total)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) <= hot_from(total)), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
