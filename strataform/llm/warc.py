@@ -8,12 +8,16 @@ after ``FILE_MOST`` bytes; the manifest has only the files of tasks that ended w
 Reading. Each file is read record by record, from a gzip member or a bare version line. A record is checked: its member's
 checksum, version line, lengths, end, block digest and payload digest. After a failed check the reader searches for the
 next member or version line whose record passes, goes on from there, and gives the gap as a row of its own: file, first
-byte, end, reason. Memory is bounded by the largest record and a window of
-the file, or what lies between a bare version line and the next end of a header. A header may have any length. ``op4`` fails
-if it doesn't read as many records as it wrote.
+byte, end, reason. ``salvaged`` writes the gaps to a quarantine table beside the records. Memory is bounded by the largest
+record and a window of the file, or what lies between a bare version line and the next end of a header. A header may have
+any length. ``op4`` fails, and keeps its archives and that table, if there is a gap or if it doesn't read as many records
+as it wrote.
+
+Payloads aren't shuffled while the digests that occur more than once are few (``SENT``) enough to be sent. Beyond that
+those that are hot are sent, and the others' rows are shuffled by digest.
 
 Defined results: a null html is an empty payload; a null page_id is smaller than any other, and a null url is written as
-a URN; of equal payloads, all rows that have the largest page_id are responses (repeated rows repeat their result); an
+a URN; urls and payloads of any length are written whole; of equal payloads, all rows that have the largest page_id are responses (repeated rows repeat their result); an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, scratch, ship, shuffle_width, table, thrifty, values, written
+from .shared import SENT, drop, join_hot, scratch, ship, shuffle_width, table, thrifty, tidied, values, written
 
 LEAST = 1000
 FILE_MOST = 128 << 20
@@ -233,6 +237,13 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(thrifty(lambda batches: read_files(batches, payloads)), DDL)
 
 
+def salvaged(files: DataFrame, log: str, payloads: bool = True) -> DataFrame:
+    """The records of ``files``, written; the gaps (file, start, end, gap) go to the Parquet table ``log``."""
+    found = written(read_archives(files, payloads), "salvaged")
+    found.where("gap is not null").select("file", "start", "end", "gap").write.mode("append").parquet(log)
+    return found.where("gap is null").drop("gap")
+
+
 # Writing
 
 
@@ -241,9 +252,16 @@ def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("id", "url", payload.alias("payload"))
     rows = rows.withColumn("key", F.when(F.length("payload") >= least, F.concat(F.unhex(F.sha1("payload")), F.unhex(F.sha2("payload", 256)))))
-    most = rows.where("key is not null").groupBy("key").agg(F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "most")
+    most = written(rows.where("key is not null").groupBy("key").agg(F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    several, total = most.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if several <= SENT:
+        joined = rows.join(F.broadcast(most), "key", "left")
+    else:
+        single = rows.where("key is null").unionByName(rows.where("key is not null").join(most.select("key").hint("merge"), "key", "left_anti"))
+        single = single.withColumns({"most": F.lit(None).cast(rows.schema["id"].dataType), "n": F.lit(1).cast("long")})
+        joined = join_hot(rows, most, "key", "n", total).unionByName(single)
     revisits = F.coalesce(F.col("most").isNotNull() & ~F.col("id").eqNullSafe(F.col("most")), F.lit(False))
-    return rows.join(most, "key", "left").select("id", "url", "payload", revisits.alias("revisits"), F.when(revisits, F.col("most")).alias("refers_to"))
+    return joined.select("id", "url", "payload", revisits.alias("revisits"), F.when(revisits, F.col("most")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -281,17 +299,19 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), "url", "html")
-    folder = scratch(spark, "warc")
-    manifest = write_archives(decided(pages), folder)
-    files = manifest.select("file").repartition(shuffle_width(spark), "file")
+    folder, log, at = scratch(spark, "warc"), scratch(spark, "warc-gaps"), scratch(spark, "op4")
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    records = read_archives(files, payloads=False).where("gap is null")
-    out = written(records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")), "op4")
-    wrote, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], out.count()
-    drop(spark, folder)
-    if wrote != read:
-        raise RuntimeError(f"op4 wrote {wrote} records and read {read}")
+    with tidied(spark):
+        manifest = write_archives(decided(pages), folder)
+        files = manifest.select("file").repartition(shuffle_width(spark), "file")
+        records = salvaged(files, log, payloads=False)
+        out = written(records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")), "op4", at)
+        wrote, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], out.count()
+        gaps = spark.read.schema("file string, start long, end long, gap string").parquet(log).count()
+    if wrote != read or gaps:
+        raise RuntimeError(f"op4 wrote {wrote} records and read {read}; {gaps} gaps are listed in {log}, the archives are in {folder}")
+    drop(spark, folder, log)
     return out
 
 
