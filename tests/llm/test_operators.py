@@ -205,13 +205,75 @@ def test_quality_of_awkward_rows(spark, docs, empty):
     assert quality.keep(empty, labels).count() == 0
 
 
-def test_context_counts():
-    texts = [b"a b a", None, b"c", b"", b"b a"]
-    total = np.zeros(quality.BUCKETS**2, np.int64)
-    quality.neighbours(texts, total)
-    slot = lambda w: [int(x) for x in quality.Batch([w]).slots[0]]
-    want = Counter((x, y) for t in texts for p, q in zip((t or b"").split(), (t or b"").split()[1:], strict=False) for x in slot(p) for y in slot(q))
-    assert {divmod(int(k), quality.BUCKETS): int(total[k]) for k in np.flatnonzero(total)} == dict(want)
+def plain_index(word, seed=0):
+    """One place of each eight is 1 or -1, by four bits of the hash each."""
+    h, out = xxhash.xxh64_intdigest(word, seed), [0] * quality.DIM
+    for j in range(quality.DIM // 8):
+        bits = h >> 4 * j & 15
+        out[8 * j + bits % 8] = -1 if bits >= 8 else 1
+    return out
+
+
+def plain_slot(word):
+    return (xxhash.xxh64_intdigest(word) * 0x9E3779B97F4A7C15 % 2**64) * quality.SLOTS >> 64
+
+
+def plain_vectors(texts):
+    """slot: sum of the index vectors of the words beside its words."""
+    out = defaultdict(lambda: [0] * quality.DIM)
+    for t in texts:
+        w = (t or b"").split()
+        for x, y in zip(w, w[1:], strict=False):
+            for own, other in ((x, y), (y, x)):
+                out[plain_slot(own)] = [p + q for p, q in zip(out[plain_slot(own)], plain_index(other), strict=True)]
+    return out
+
+
+QUALITY_TEXTS = [b"a b a", None, b"c", b"", b"b a", "Zoë's 12 dogs, ran ran".encode(), b"x " * 5000]
+
+
+def test_neighbours_against_plain_sums():
+    slots, sums = quality.neighbours(QUALITY_TEXTS)
+    want = plain_vectors(QUALITY_TEXTS)
+    assert {int(k): x.tolist() for k, x in zip(slots, sums, strict=True) if x.any()} == {k: x for k, x in want.items() if any(x)}
+    assert quality.neighbours([None, b""])[1].shape == (0, quality.DIM)
+
+
+def test_word_vectors_over_tasks(spark):
+    rows = [(bytearray(t) if t is not None else None,) for t in QUALITY_TEXTS * 3]
+    got = quality.word_vectors(spark.createDataFrame(rows, "text binary").repartition(4))
+    want = np.zeros((quality.SLOTS, quality.DIM), np.int8)
+    for k, x in plain_vectors(QUALITY_TEXTS * 3).items():
+        want[k] = np.round(np.array(x) / max(1, math.sqrt(sum(v * v for v in x))) * 127)
+    assert (got == want).all()
+
+
+def test_pooling_network_and_temperature_in_plain_python():
+    vectors = np.random.default_rng(1).integers(-127, 128, (quality.SLOTS, quality.DIM)).astype(np.int8)
+    shape = lambda w: re.sub(rb"(?s)(.)\1+", rb"\1", re.sub(rb"[0-9]", b"0", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", w))))
+    want = []
+    for t in QUALITY_TEXTS:
+        w = (t or b"").split()
+        mean = lambda rows: [sum(x) / len(w) for x in zip(*rows, strict=True)]  # noqa: B023, E731
+        same = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        want.append([*mean([[v / 127 for v in vectors[plain_slot(x)].tolist()] for x in w]), *mean([plain_index(shape(x), 1) for x in w]), len(set(w)) / len(w), same / (len(w) - 1) if len(w) > 1 else 0, math.log(1 + len(w))] if w else [0.0] * quality.FEATURES)
+    x = quality.pooled(QUALITY_TEXTS, vectors)
+    assert np.allclose(x, want, atol=1e-4)
+    rng = np.random.default_rng(2)
+    many = rng.normal(size=(200, quality.FEATURES))
+    y = (many[:, 0] + 0.8 * rng.normal(size=200) > 0).astype(float)
+    left = np.arange(200) % 5 == 0
+    m = quality.train(vectors, many, y, left)
+
+    def plain_logit(row):
+        a = [(v - p) / q for v, p, q in zip(row, m.mean, m.spread, strict=True)]
+        h = [max(0.0, sum(v * c for v, c in zip(a, col, strict=True)) + b) for col, b in zip(m.w1.T.tolist(), m.b1, strict=True)]
+        return sum(v * c for v, c in zip(h, m.w2, strict=True)) + m.b2
+
+    assert np.allclose([plain_logit(r) for r in many[:20]], m.logits(many[:20]))
+    loss = lambda c: sum(math.log(1 + math.exp(-z / c if t else z / c)) for z, t in zip(m.logits(many[left]), y[left], strict=True))
+    assert m.temperature == pytest.approx(min(np.geomspace(0.25, 8, 61), key=loss))
+    assert np.allclose(m.scores(QUALITY_TEXTS), [1 / (1 + math.exp(-plain_logit(r) / m.temperature)) for r in x.astype(float)], atol=1e-6)
 
 
 # 6
