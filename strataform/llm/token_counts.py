@@ -1,7 +1,9 @@
 """Operator 9, token counts: a separator scan over flat token files that have no index.
 
 Writing. Each task encodes its documents and writes their ids, an end-of-document id after each, as flat little-endian
-integers to files of its own (a new one after ``FILE_TOKENS``). A table keeps which document is the how-manieth of which
+integers to files of its own (a new one after ``FILE_TOKENS``). The end-of-document id is the one after the vocabulary's
+last, and the integers are as wide as that id needs; a separator that the vocabulary has, or a width that is too small, is
+refused. A table keeps which document is the how-manieth of which
 file; only files of tasks that ended well are in it.
 
 Counting. The files are cut into blocks of ``BLOCK_TOKENS`` ids, whatever documents they hold. A task searches its block
@@ -27,19 +29,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import drop, scratch, ship, shuffle_width, table, thrifty, values, written
+from .shared import drop, scratch, ship, shuffle_width, table, thrifty, tidied, values, written
 
 FILE_TOKENS = 64 << 20
 BLOCK_TOKENS = 4 << 20
-#: The free id after the vocabulary's last.
-SEPARATOR = 50256
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, separator: int = SEPARATOR, width: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def layout(ranks: bytes) -> tuple[int, int]:
+    """The separator (the first id after the vocabulary's last) and the bytes of an integer, for a ranks file."""
+    separator = max(map(int, ranks.split()[1::2]), default=-1) + 1
+    return separator, next(w for w in (1, 2, 4, 8) if separator < 1 << (8 * w))
+
+
+def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, separator: int | None = None, width: int | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the token files; gives (file, ordinal, id), written. ``docs``: id and text, in that order."""
     spark = docs.sparkSession
     ship(spark)
-    ranks = spark.sparkContext.broadcast(bpe.vocabulary(path))
+    vocabulary = bpe.vocabulary(path)
+    free, least = layout(vocabulary)
+    separator = free if separator is None else separator
+    width = width or max(least, next(w for w in (1, 2, 4, 8) if separator < 1 << (8 * w)))
+    if separator < free or separator >= 1 << (8 * width):
+        raise ValueError(f"separator {separator} in {width} bytes: the vocabulary's ids go up to {free - 1}")
+    ranks = spark.sparkContext.broadcast(vocabulary)
     kind = docs.dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +88,15 @@ def block_counts(ids: np.ndarray, separator: int) -> tuple[list[int], int]:
     return (np.diff(at, prepend=-1) - 1).tolist(), len(ids) - int(at[-1]) - 1
 
 
-def count_tokens(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, ordinal, n_tokens) of every document in the flat files that ``files`` names in its first column."""
+def count_tokens(files: DataFrame, separator: int | None = None, width: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, ordinal, n_tokens) of every document in the flat files that ``files`` names in its first column.
+
+    Where no separator or width is given, those of the default vocabulary's files.
+    """
     spark = files.sparkSession
+    if separator is None or width is None:
+        own = layout(bpe.vocabulary(bpe.default_files()[0]))
+        separator, width = own[0] if separator is None else separator, width or own[1]
     ship(spark)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +137,11 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, width: int = 2, b
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: doc_id, n_tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
-    folder = scratch(spark, "tokens")
-    ordinals = write_tokens(docs, folder, *bpe.default_files())
-    counts = written(count_tokens(ordinals.select("file").distinct()), "counts")
-    drop(spark, folder)
-    return ordinals.join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    at = scratch(spark, "op9")
+    path, pattern = bpe.default_files()
+    with tidied(spark):
+        folder = scratch(spark, "tokens")
+        ordinals = write_tokens(docs, folder, path, pattern)
+        counts = written(count_tokens(ordinals.select("file").distinct(), *layout(bpe.vocabulary(path))), "counts")
+        drop(spark, folder)
+        return written(ordinals.join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens"), "op9", at)
