@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, table, thrifty, values, written
+from .shared import fresh, join_hot, scratch, ship, table, thrifty, tidied, values, written
 
 MOST = 3
 SHINGLE = 3
@@ -43,6 +43,8 @@ BLOCK = 4096
 #: The estimated cost of one more bucket row, in compared pairs.
 PROBE_COST = 20.0
 MATRIX = 512
+#: Texts of up to so many bytes are remembered, 256 at a time.
+KNOWN_BYTES = 1 << 16
 
 
 # Fingerprints
@@ -81,9 +83,9 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text = text or b""
             if len(known) > 256:
                 known.clear()
-            if text not in known:
-                known[text] = signed(fingerprint(text))
-            made.append(known[text])
+            made.append(known[text] if text in known else signed(fingerprint(text)))
+            if len(text) <= KNOWN_BYTES:
+                known[text] = made[-1]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.int64())], [f"c{k}" for k in range(b.num_columns)])
 
 
@@ -300,11 +302,14 @@ def classes(rows: DataFrame, most: int = MOST) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: doc_id, fingerprint, component_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = written(with_fingerprint(docs, "text", "fp").select("doc_id", "fp"), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = written(classes(marked).join(least, "fp"), "classes")
-    named = label.join(label.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    at = scratch(spark, "op10")
+    with tidied(spark):
+        marked = written(with_fingerprint(docs, "text", "fp").select("doc_id", "fp"), "fingerprints")
+        least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        label = written(classes(marked).join(least, "fp"), "classes")
+        named = label.join(label.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
+        out = join_hot(marked, named, "fp", "n", marked.count())
+        return written(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "op10", at)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
