@@ -324,8 +324,11 @@ def test_packed_arrays():
         assert (katz.unpack(katz.pack(x)) == x).all()
     x = np.array([0.5, -1e300, np.inf])
     assert (katz.unpack(katz.pack(x), "<f8") == x).all()
-    big = np.array([2**40, 2**40, 5]), np.array([2**50, 1, 1])
-    assert len(set(katz.joint(*big).tolist())) == 3
+    big = [np.array([2**40, 2**40, 5, 5]), np.array([2**50, 1, 1, 1])]
+    ids, first = katz.grouped(big)
+    assert ids.tolist() == [2, 1, 0, 0] and [x[first].tolist() for x in big] == [[5, 2**40, 2**40], [1, 1, 2**50]]
+    for columns in (big, [np.array([3, 1, 2]), np.array([2**40, 0, 1])]):
+        assert [x.tolist() for x in katz.unpacked_grams(katz.packed_grams(columns))] == [x.tolist() for x in columns]
 
 
 # 7
