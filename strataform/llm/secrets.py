@@ -5,9 +5,9 @@ value that follows is judged by what it costs to guess: the cheapest segmentatio
 keyboard walks and brute-force spans, each with a cost in powers of ten, found by dynamic programming over the value's
 ends. A value of ``LEAST_COST`` or more is a span of the kind ``guess``, whether a base span covers it or not.
 
-The dictionary is the corpus's own: the ``DICTIONARY`` most frequent words (runs of ASCII letters) of all texts, ranked
-by their counts, after the few words of ``COMMON``. It is counted in Spark; so many short words at most come to the driver
-and are sent to the tasks.
+The dictionary is the corpus's own: the ``DICTIONARY`` most frequent words (runs of ASCII letters) of all texts, values in
+a credential's context left out, ranked by their counts, after the few words of ``COMMON``. It is counted in Spark; so
+many short words at most come to the driver and are sent to the tasks.
 
 Every text is read whole in its own row, in Arrow batches; memory is bounded by one batch. A segment is of ``LONGEST``
 characters at most, but for repeats, which may be as long as they are. So what a value costs is known to be enough once
@@ -201,7 +201,9 @@ def scanned(rank) -> Callable:
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
     """The most frequent words of all texts, the most frequent first."""
-    words = docs.select(F.explode(F.split(ascii_lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("word")).where(F.length("word").between(WORD_LEAST, WORD_MOST))
+    #: What stands in a credential's context is no word, or a secret that is copied often would be one.
+    text = F.regexp_replace(F.col(text_col).cast("string"), f"(?i){CONTEXT.pattern}", " ")
+    words = docs.select(F.explode(F.split(ascii_lower(text), "[^a-z]+")).alias("word")).where(F.length("word").between(WORD_LEAST, WORD_MOST))
     counts = words.groupBy("word").count()
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
 
