@@ -20,21 +20,23 @@ Documents aren't shuffled. Memory is bounded by an Arrow batch, what is made of
 and a shard's index.
 
 Defined results: a null or empty text or item matches nothing; an item of fewer than five words in question or answer is
-compared as one shingle of that length; items with equal texts and repeated rows are reported each for itself; null ids
+compared as one shingle of that length; items with equal texts are reported each for itself, rows that repeat an item's id and text once; null ids
 are kept; no items or no documents give an empty result; other columns are ignored (``clean`` keeps them).
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import fresh, in_parts, ship, table, thrifty, values, written
 
@@ -69,81 +71,112 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(own & grams(passage, n)) / len(own) if own else 1.0
 
 
+class Postings:
+    """Lists of (item, weight) by term, over flat arrays."""
+
+    def __init__(self, ends: np.ndarray, items: np.ndarray, weights: np.ndarray) -> None:
+        self.ends, self.items, self.weights = ends, items, weights
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def part(self, t: int) -> slice:
+        return slice(int(self.ends[t]), int(self.ends[t + 1]))
+
+    def __getitem__(self, t: int) -> list[tuple[int, float]]:
+        if not 0 <= t < len(self):
+            raise IndexError(t)
+        return list(zip(self.items[self.part(t)].tolist(), self.weights[self.part(t)].tolist(), strict=True))
+
+
 class Index:
-    """BM25 postings of a shard's items, with weights relative to each item's own score."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], df: dict[bytes, int], n: int, mean: float, split: Callable[[list[bytes]], int], threshold: float) -> None:
-        items = [(i, w) for i, w in items if w]
-        self.items, self.threshold = items, threshold
-        self.splits = [split(w) for _, w in items]
-        weights: dict[bytes, list[tuple[int, float]]] = {}
-        for k, (_, words) in enumerate(items):
+    """BM25 postings of a shard's items, with weights relative to each item's own score: flat arrays, and the items' texts."""
+
+    def __init__(self, items: Iterable[tuple[object, list[bytes]]], df: dict[bytes, int], n: int, mean: float, split: Callable[[list[bytes]], int], threshold: float) -> None:
+        self.threshold = threshold
+        self.ids, self.texts, self.splits, self.term = [], [], [], {}
+        terms, places, weights = array("q"), array("q"), array("d")
+        for i, words in items:
+            if not words:
+                continue
             own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for t, c in Counter(words).items()}
             whole = sum(own.values())
-            for t, x in own.items():
-                weights.setdefault(t, []).append((k, x / whole))
-        terms = sorted(weights)
-        self.term = {t: k for k, t in enumerate(terms)}
-        self.postings = [weights[t] for t in terms]
-        self.most = [max(x for _, x in p) for p in self.postings]
-        self.block_most = [{} for _ in terms]
-        for p, best in zip(self.postings, self.block_most, strict=True):
-            for k, x in p:
-                best[k // BLOCK_ITEMS] = max(best.get(k // BLOCK_ITEMS, 0.0), x)
+            terms.extend(self.term.setdefault(t, len(self.term)) for t in own)
+            places.extend([len(self.ids)] * len(own))
+            weights.extend(x / whole for x in own.values())
+            self.ids.append(i)
+            self.texts.append(b" ".join(words))
+            self.splits.append(split(words))
+        of, place, weight = np.frombuffer(terms, np.int64), np.frombuffer(places, np.int64), np.frombuffer(weights, np.float64)
+        order = np.argsort(of, kind="stable")  # items come in order
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.term)))])
+        self.postings = Postings(ends, place[order].astype(np.int32), weight[order])
+        self.most = np.maximum.reduceat(self.postings.weights, ends[:-1]) if len(self.term) else np.empty(0)
+        #: Each term's blocks of items, with their greatest weights.
+        blocks = -(-len(self.ids) // BLOCK_ITEMS)
+        cell = of[order] * max(blocks, 1) + self.postings.items // BLOCK_ITEMS
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.blocks = Postings(
+            np.concatenate([[0], np.cumsum(np.bincount(of[order][first], minlength=len(self.term)))]), (cell[first] % max(blocks, 1)).astype(np.int32), np.maximum.reduceat(self.postings.weights, first) if len(first) else np.empty(0)
+        )
         #: The most frequent terms are left out of the first pass as long as no item gets more than half the threshold from them.
-        rest, self.frequent = np.zeros(len(items)), np.zeros(len(terms), bool)
-        for t in sorted(range(len(terms)), key=lambda t: -len(self.postings[t])):
-            at = [k for k, _ in self.postings[t]]
+        rest, self.frequent = np.zeros(len(self.ids)), np.zeros(len(self.term), bool)
+        for t in np.argsort(-np.diff(ends), kind="stable").tolist():
+            at = self.postings.part(t)
             more = rest.copy()
-            more[at] += [x for _, x in self.postings[t]]
-            if len(at) < 2 or more[at].max() > threshold / 2:
+            more[self.postings.items[at]] += self.postings.weights[at]
+            if at.stop - at.start < 2 or more.max() > threshold / 2:
                 break
             rest, self.frequent[t] = more, True
-        blocks = -(-len(items) // BLOCK_ITEMS)
-        self.rest = np.array([rest[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].max() for b in range(blocks)])
-        flat = [(b, x) for t in range(len(terms)) for b, x in ([] if self.frequent[t] else self.block_most[t].items())]
-        self.flat_block = np.array([b for b, _ in flat], np.int64)
-        self.flat_most = np.array([x for _, x in flat])
-        self.sizes = np.array([0 if self.frequent[t] else len(self.block_most[t]) for t in range(len(terms))], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.rest = np.maximum.reduceat(rest, np.arange(0, len(rest), BLOCK_ITEMS)) if len(rest) else rest
+        self.sizes = np.where(self.frequent, 0, np.diff(self.blocks.ends))
+        self.begins = self.blocks.ends[:-1]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items that score the threshold or more for these distinct terms."""
         low = self.threshold - 1e-9
-        lists = [[self.postings[t], 0, self.most[t], self.block_most[t]] for t in terms]
+        #: items, weights, place, greatest weight, blocks, their greatest weights
+        lists = [[self.postings.items[a], self.postings.weights[a], 0, float(self.most[t]), self.blocks.items[b], self.blocks.weights[b]] for t in terms for a, b in [(self.postings.part(t), self.blocks.part(t))]]
         found = []
+
+        def at(x: list) -> int:
+            return int(x[0][x[2]])
+
+        def block_most(x: list, block: int) -> float:
+            k = int(np.searchsorted(x[4], block))
+            return float(x[5][k]) if k < len(x[4]) and x[4][k] == block else 0.0
+
         while lists:
-            lists.sort(key=lambda x: x[0][x[1]][0])
+            lists.sort(key=at)
             bound, pivot = 0.0, None
             for k, x in enumerate(lists):
-                bound += x[2]
+                bound += x[3]
                 if bound >= low:
                     pivot = k
                     break
             if pivot is None:
                 break
-            item = lists[pivot][0][lists[pivot][1]][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][1]][0] == item:
+            item = at(lists[pivot])
+            while pivot + 1 < len(lists) and at(lists[pivot + 1]) == item:
                 pivot += 1
             block = item // BLOCK_ITEMS
-            if sum(x[3].get(block, 0.0) for x in lists[: pivot + 1]) < low:
+            if sum(block_most(x, block) for x in lists[: pivot + 1]) < low:
                 #: No item up to the next block, or to the next list's item, can reach the threshold.
                 to = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(lists):
-                    to = min(to, lists[pivot + 1][0][lists[pivot + 1][1]][0])
+                    to = min(to, at(lists[pivot + 1]))
                 to = max(to, item + 1)
                 moving = lists[: pivot + 1]
-            elif lists[0][0][lists[0][1]][0] == item:
-                score = sum(x[0][x[1]][1] for x in lists[: pivot + 1])
+            elif at(lists[0]) == item:
+                score = sum(float(x[1][x[2]]) for x in lists[: pivot + 1])
                 if score >= low:
                     found.append((item, score))
                 to, moving = item + 1, lists[: pivot + 1]
             else:
-                to, moving = item, [x for x in lists[:pivot] if x[0][x[1]][0] < item]
+                to, moving = item, [x for x in lists[:pivot] if at(x) < item]
             for x in moving:
-                while x[1] < len(x[0]) and x[0][x[1]][0] < to:
-                    x[1] += 1
-            lists = [x for x in lists if x[1] < len(x[0])]
+                x[2] += int(np.searchsorted(x[0][x[2] :], to))
+            lists = [x for x in lists if x[2] < len(x[0])]
         return found
 
     def passages(self, ids: list[np.ndarray], stride: int) -> list[tuple[int, int]]:
@@ -168,9 +201,9 @@ class Index:
         passage, term = key // len(self.term), key % len(self.term)
         n = self.sizes[term]
         place = np.repeat(self.begins[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell = np.repeat(passage, n) * blocks + self.flat_block[place]
+        cell = np.repeat(passage, n) * blocks + self.blocks.items[place]
         order = np.argsort(cell, kind="stable")
-        cell, most = cell[order], self.flat_most[place][order]
+        cell, most = cell[order], self.blocks.weights[place][order]
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         bound = np.add.reduceat(most, first) + self.rest[cell[first] % blocks]
         hit = np.unique(cell[first][bound >= self.threshold - 1e-9] // blocks)
@@ -185,20 +218,20 @@ class Index:
             at = slice(w * stride, (w + 2) * stride)
             terms = np.unique(ids[k][at])
             for item, score in self.search(terms[terms >= 0].tolist()):
-                own, cut = self.items[item][1], self.splits[item]
+                own, cut = self.texts[item].split(b" "), self.splits[item]
                 q, a = overlap(own[:cut], words[k][at]), overlap(own[cut:], words[k][at])
                 if min(q, a) >= OVERLAP or overlap(own, words[k][at]) >= OVERLAP:
                     best[k, item] = max(best.get((k, item), (0.0, 0.0, 0.0)), (score, q, a))
         for (k, item), x in sorted(best.items()):
-            yield k, self.items[item][0], *x
+            yield k, self.ids[item], *x
 
 
 def shards(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, bytes]]]:
-    """The items, in parts of ``most`` bytes of text at most (or one item)."""
+    """The items, in parts of about ``most`` bytes of text (or one item)."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = -(-total * 2 // most) if total > most else 1
     for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else benchmark
+        part = benchmark.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else benchmark
         yield [(r["id"], bytes(r["text"])) for r in part.collect()]
 
 
@@ -208,8 +241,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     ship(spark)
     docs = docs.toDF("id", "text").withColumn("text", F.col("text").cast("string").cast("binary"))
     kind, item_kind = docs.dtypes[0][1], benchmark.dtypes[0][1]
+    item_type = to_arrow_type(benchmark.schema[0].dataType)
     ddl = f"id {kind}, item_id {item_kind}, bm25 double, question_overlap double, answer_overlap double"
-    items = benchmark.toDF("id", "text").withColumn("text", F.col("text").cast("string").cast("binary")).where("text is not null")
+    items = benchmark.toDF("id", "text").withColumn("text", F.col("text").cast("string").cast("binary")).where("text is not null").distinct()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,10 +258,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     stride = max(LEAST_PASSAGE // 2, int(longest))
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").count()
     for part in shards(items, shard_bytes):
-        held = [(i, words_of(x)) for i, x in part]
-        wanted = spark.createDataFrame([(bytearray(t),) for t in {t for _, w in held for t in w}], "term binary")
+        wanted = spark.createDataFrame([(bytearray(t),) for t in {t for _, x in part for t in words_of(x)}], "term binary")
         df = {bytes(r["term"]): r["count"] for r in frequency.join(wanted, "term", "left_semi").collect()}
-        sent = spark.sparkContext.broadcast(Index(held, df, n, mean, split, threshold))
+        sent = spark.sparkContext.broadcast(Index(((i, words_of(x)) for i, x in part), df, n, mean, split, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -236,16 +269,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
                     rows += [(start + k, *x) for k, *x in sent.value.leaks(part, stride)]
                     start += len(part)
                 own = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, pa.array([r[1] for r in rows], schema_kind(item_kind)), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["id", "item_id", "bm25", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([own, pa.array([r[1] for r in rows], item_type), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], ["id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 
         out = out.unionByName(docs.mapInArrow(thrifty(run), ddl))
     return out
 
 
-def schema_kind(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents without a leaked item, with all columns. Rows are told apart by place, so ids may be null or repeat."""
     row = fresh(docs, "sf_row")[0]
