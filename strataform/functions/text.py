@@ -71,8 +71,19 @@ def fnv1a(c: Column) -> Column:
     return F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(0xFFFFFFFF))))
 
 
+def int32_bits(c: Column, kind: str) -> Column:
+    """The last 32 bits of a number's whole part, without sign; 0 for what isn't finite."""
+    if kind in ("double", "float"):
+        d = c.cast("double")
+        whole = F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).cast("double") if kind == "float" else d - d % 1
+        low = F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(0.0)).otherwise(whole % 4294967296.0).cast("long")
+    else:
+        low = (c % F.lit(4294967296).cast("decimal(38,0)")).cast("long") if kind.startswith("decimal") else c.cast("long")
+    return low.bitwiseAND(0xFFFFFFFF)
+
+
 def masked(c: Column, kind: str, strategy: str) -> Column:
-    """redact, mask or hash; numbers become 0 or their hash."""
+    """redact, mask or hash. Numbers become 0, or one step of FNV-1a over their 32 bits: a long, or a double for fractions."""
     text = c.cast("string")
     if strategy == "redact":
         return F.when(c.isNotNull(), F.lit("***") if kind == "string" else F.lit(0).cast(kind))
@@ -80,8 +91,10 @@ def masked(c: Column, kind: str, strategy: str) -> Column:
         tail = F.when(utf16_length(text) > 4, F.concat(F.lit("***"), F.right(text, F.lit(4)))).otherwise("***")
         return F.when(c.isNotNull(), tail if kind == "string" else F.lit(0).cast(kind))
     if strategy == "hash":
-        made = fnv1a(text)
-        return F.when(c.isNotNull(), made if kind == "string" else F.conv(made, 16, 10).cast(kind))
+        if kind == "string":
+            return fnv1a(text)
+        step = (int32_bits(c, kind).bitwiseXOR(2166136261) * 16777619).bitwiseAND(0xFFFFFFFF)
+        return step.cast("double" if kind in ("double", "float") else "long")
     raise EngineError("INVALID_OPERATION", f"no strategy {strategy!r}")
 
 
@@ -98,6 +111,7 @@ def sanitized(c: Column, preset: str | list[str] | None = None, html: Any = None
         html = "strip" if "text" in presets else "escape" if "htmlEscape" in presets else None
     if controls is None and {"sqlIdentifier", "pathSegment"} & set(presets):
         controls = "remove"
+    #: Fixed value: elements that go with all they hold.
     blocks = r"(?is)<(script|style|iframe|object|embed)[^>]*>.*?</\1\s*>"
     each = lambda c, *pairs: [c := F.regexp_replace(c, a, b) for a, b in pairs][-1]
     if normalize:

@@ -8,7 +8,7 @@ where the schema is optional or nullable, and takes the default where it has one
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -97,6 +97,8 @@ def scalar_checks(schema: Schema, c: Column) -> list[tuple[Column, str, str]]:
             out.append((c.contains(args[0]), "invalid_string", f"includes {args[0]}"))
         elif name == "regex":
             out.append((c.rlike(from_javascript(args[0])), "invalid_string", f"matches {args[0]}"))
+        elif name == "string_format":
+            out.append((c.rlike(from_javascript(args[1])), "invalid_format", args[0]))
         elif name == "digits_length":
             out.append((F.length(text.digits(c)).isin(*args), "invalid_length", "a number of digits of " + ", ".join(map(str, args))))
         elif name in ("cpf", "cnpj", "format"):
@@ -318,14 +320,19 @@ def checked(schema: Schema, c: Column, path: Column) -> tuple[Column, Column]:
     return ok, F.array_compact(F.array(*[when_bad(two_valued(holds), issue(path, code, expected)) for holds, code, expected in checks])).cast(ISSUES)
 
 
-def compile_variant(schema: Schema, c: Column, path: Column, depth: int = 4) -> tuple[Column, Column, Column]:
-    """A recursive schema, unrolled ``depth`` levels over a variant; what lies deeper passes."""
+#: Levels of a recursive schema, where it doesn't say (``hint("depth", n)``).
+DEPTH = 6
+
+
+def compile_variant(schema: Schema, c: Column, path: Column) -> tuple[Column, Column, Column]:
+    """A recursive schema, unrolled over a variant; a value that goes deeper than its levels is invalid."""
+    depth = schema.hinted("depth") or DEPTH
 
     def fits(x: Schema, v: Column, left: int) -> Column:
-        if x.kind == "lazy":
-            return F.lit(True) if not left else fits(x.items(), v, left - 1)
         if x.optional_ or x.nullable_:
-            return v.isNull() | F.is_variant_null(v) | fits(Schema(x.kind, x.items, x.checks), v, left)
+            return v.isNull() | two_valued(F.is_variant_null(v)) | fits(replace(x, optional_=False, nullable_=False), v, left)
+        if x.kind == "lazy":
+            return F.lit(False) if not left else fits(x.items(), v, left - 1)
         if x.kind == "object":
             ok = two_valued(F.schema_of_variant(v).startswith("OBJECT"))
             for n, f in x.items:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
@@ -19,7 +20,7 @@ def with_default(schema: Schema, c: Column) -> Column:
 
 
 def equal(schema: Schema, a: Column, b: Column) -> Column:
-    """NULL equals NULL and NaN equals NaN. Arrays are compared by place, or by key if the schema names one."""
+    """NULL equals NULL and NaN equals NaN. Arrays are compared by place, or by key if a hint (keyed, index_by, ordered) names one."""
     if schema.kind in NO_EQUALITY:
         raise unsupported(f"{schema.kind} has no equality")
     a, b = with_default(schema, a), with_default(schema, b)
@@ -30,8 +31,8 @@ def equal(schema: Schema, a: Column, b: Column) -> Column:
             own = own & equal(x, a[n], b[n])
         return F.when(both, own).otherwise(a.isNull() & b.isNull())
     if schema.kind == "array":
-        key = schema.hinted("keyed", "index_by")
-        if key:
+        key = schema.hinted("keyed", "index_by", "ordered")
+        if isinstance(key, str):
             there = lambda x: F.exists(b, lambda y: x[key].eqNullSafe(y[key]) & equal(schema.items, x, y))
             return F.when(both, (F.size(a) == F.size(b)) & F.forall(a, there)).otherwise(a.isNull() & b.isNull())
         pairs = F.zip_with(a, b, lambda x, y: equal(schema.items, x, y))
@@ -113,7 +114,7 @@ def raw_hash(schema: Schema, c: Column) -> Column:
     else:
         number = c.cast("double")
         finite = ~F.isnan(number) & (F.abs(number) < 2.0**62)
-        h = F.when(finite, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")).otherwise(F.lit(0))
+        h = F.when(c.isNull(), F.lit(None)).when(finite, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")).otherwise(F.lit(0))
     return F.coalesce(h.bitwiseAND(0xFFFFFFFF), F.lit(0 if schema.optional_ else 1).cast("long"))
 
 
@@ -183,6 +184,36 @@ class Draft:
         return {k: v.taken() if isinstance(v, Draft) else v for k, v in self.writes.items()}
 
 
+def param(name: str) -> Param:
+    """A place in a patch that is filled when the patch is applied."""
+    return Param(name)
+
+
+@dataclass(frozen=True)
+class Param:
+    name: str
+
+
+def patcher(schema: Schema, template: dict[str, Any]) -> Any:
+    """A patch with ``param`` places, checked now: a function of the value and what fills the places."""
+
+    def names(x: Any) -> set[str]:
+        return {x.name} if isinstance(x, Param) else {n for v in x.values() for n in names(v)} if isinstance(x, dict) else set()
+
+    def filled(x: Any, given: dict[str, Any]) -> Any:
+        return given[x.name] if isinstance(x, Param) else {k: filled(v, given) for k, v in x.items()} if isinstance(x, dict) else x
+
+    wanted = names(template)
+    patch(schema, F.lit(None).cast(schema.spark()), filled(template, dict.fromkeys(wanted)))
+
+    def run(c: Column, **given: Any) -> Column:
+        if set(given) != wanted:
+            raise EngineError("INVALID_OPERATION", f"the patch needs {sorted(wanted)}")
+        return patch(schema, c, filled(template, given))
+
+    return run
+
+
 def drafted(schema: Schema, c: Column, recipe: Any) -> Column:
     d = Draft()
     recipe(d)

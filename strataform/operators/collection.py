@@ -24,6 +24,16 @@ def keyed(o: Ordered, key: str) -> Ordered:
     return Ordered(both.select("_r.*", *[F.col(f"_p.{c}").alias(c) for c in o.ord]), o.depth)
 
 
+def index(o: Ordered, key: str) -> DataFrame:
+    """(key, value): the last row of each key, for look-ups by join."""
+    return keyed(o, key).df.select(F.col(key).alias("key"), F.struct(*o.fields).alias("value"))
+
+
+def looked_up(df: DataFrame, of: DataFrame, column: str, to: str = "found") -> DataFrame:
+    """``df`` with what an ``index`` has for its column; NULL where it has nothing. NULL finds NULL."""
+    return df.join(of.select(F.col("key").alias("_k"), F.col("value").alias(to)), F.col(column).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
 def grouped(o: Ordered, key: str, item: Column | None = None) -> DataFrame:
     """(key, items): each group's rows in order. A group is one value of the result, so it lies whole in one row."""
     o.need()

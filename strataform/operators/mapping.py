@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -60,7 +61,7 @@ def mapped(source: Schema, target: Schema, c: Column, overrides: dict[str, Any]
         if want.kind == "object":
             value = F.when(value.isNotNull(), mapped(have, want, value, rule if isinstance(rule, dict) else None))
         elif want.kind == "array" and want.items.kind == "object":
-            value = F.transform(value, lambda x, have=have, want=want, rule=rule: mapped(have.items, want.items, x, rule if isinstance(rule, dict) else None))
+            value = F.transform(value, element(have.items, want.items, rule if isinstance(rule, dict) else None))
         elif have.kind != want.kind:
             value = value.cast(want.spark())
         if isinstance(rule, Default):
@@ -69,6 +70,10 @@ def mapped(source: Schema, target: Schema, c: Column, overrides: dict[str, Any]
     return F.struct(*out)
 
 
+def element(source: Schema, target: Schema, overrides: dict[str, Any] | None) -> Callable[[Column], Column]:
+    return lambda x: mapped(source, target, x, overrides)
+
+
 def map_rows(df: DataFrame, source: Schema, target: Schema, overrides: dict[str, Any] | None = None) -> DataFrame:
     return df.select(mapped(source, target, F.struct(*df.columns), overrides).alias("m")).select("m.*")
 

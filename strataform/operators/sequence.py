@@ -82,8 +82,11 @@ def pairwise_by_key(o: Ordered, key: str) -> Ordered:
 FOLDS = {"sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max), "count": (F.count, F.sum)}
 
 
-def scan(o: Ordered, fold: str, field: str, initial: Any = None, block: int = BLOCK) -> Ordered:
-    """(value): the running sum, min, max or count, after each row. Blocks are folded, their results run up, and rows within them."""
+def scan(o: Ordered, fold: str, field: str, initial: Any = None, block: int = BLOCK, carry: tuple[str, ...] = ()) -> Ordered:
+    """(value): the running sum, min, max or count, after each row; with it the fields in ``carry``.
+
+    Blocks are folded, their results run up, and rows within them, all in the type that Spark's own fold of the field has.
+    """
     if fold not in FOLDS:
         raise invalid_query(f"no fold {fold!r}; use fold_in_order for others")
     one, more = FOLDS[fold]
@@ -92,10 +95,11 @@ def scan(o: Ordered, fold: str, field: str, initial: Any = None, block: int = BL
     blocks = df.groupBy("_b").agg(one("_v").alias("_whole"))
     before = blocks.select("_b", more("_whole").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     run = one("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.lit(initial) if initial is not None else F.lit(None)
-    parts = F.array_compact(F.array(*[c.cast("double" if fold != "count" else "long") for c in (start, F.col("_before"), F.col("_run"))]))
-    joined = {"sum": F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), "count": F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x), "min": F.array_min(parts), "max": F.array_max(parts)}[fold]
-    made = df.withColumn("_run", run).join(before, "_b", "left").select(joined.alias("value"), F.col("_n").alias("_o0"))
+    kind = before.schema["_before"].dataType
+    parts = F.array_compact(F.array(*[c.cast(kind) for c in (F.lit(initial), F.col("_before"), F.col("_run"))]))
+    added = F.aggregate(parts, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind)) if fold in ("sum", "count") else None
+    joined = {"sum": added, "count": added, "min": F.array_min(parts), "max": F.array_max(parts)}[fold]
+    made = df.withColumn("_run", run).join(before, "_b", "left").select(*carry, joined.alias("value"), F.col("_n").alias("_o0"))
     return Ordered(made, 1)
 
 

@@ -60,10 +60,13 @@ def reordered(df: DataFrame, *by: Column) -> Ordered:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """In the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """In the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataform-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="strataform-"))
     return df.checkpoint()
 
 

@@ -6,11 +6,12 @@ the last of repeated nodes wins). With one, nodes run one after the other as wri
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Both, Conditions, compile_predicate, fields_of, params_of
@@ -128,23 +129,34 @@ class Query:
         self._check()
         return self._sequential if self.incremental else self._eager
 
+    @property
+    def in_order(self) -> bool:
+        """Whether the result's order is asked for: by a sort, or by a node that works in order."""
+        return self.incremental or self._last("order_by") is not None
+
     def run(self, o: Ordered, **params: Any) -> DataFrame:
-        """The result without its ordinal."""
+        """The result without its ordinal, sorted by it where an order is asked for. (Filters alone don't pay for a sort.)"""
         out = self.compile()(o, **params)
-        return out.frame if isinstance(out, Ordered) else out
+        if not isinstance(out, Ordered):
+            return out
+        return (out.df.orderBy(*out.ord) if self.in_order else out.df).select(*out.fields)
 
     def visit(self, o: Ordered, consume: Callable[[Any], None], **params: Any) -> int:
-        """Calls ``consume`` with each row on the executors; how many rows there were."""
-        rows = self.run(o, **params)
-        seen = rows.sparkSession.sparkContext.accumulator(0)
+        """Calls ``consume`` with each row on the executors; how many rows there were.
+
+        The tasks' results count, not what they did: a task that runs twice counts once, though it consumes twice.
+        """
+        out = self.compile()(o, **params)
+        rows = out.frame if isinstance(out, Ordered) else out
+        names = rows.columns
 
-        def part(it) -> None:
-            for r in it:
-                consume(r)
-                seen.add(1)
+        def part(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                for r in b.to_pylist():
+                    consume(Row(**{n: r[n] for n in names}))
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-        rows.foreachPartition(part)
-        return seen.value
+        return rows.mapInArrow(part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def iterate(self, o: Ordered, **params: Any):
         """Pulls rows in order, partition by partition."""
@@ -228,8 +240,9 @@ class Query:
                 o = getattr(S, kind)(o, *args)
         return o
 
-    def explain(self) -> dict[str, Any]:
-        """What the plan holds back: whether it makes all rows, its barriers, its state, whether it can end early."""
+    def explain(self, o: Ordered | None = None, **params: Any) -> dict[str, Any]:
+        """What the plan holds back: whether it makes all rows, its barriers, its state, whether it can end early, and new
+        objects for each result. With rows to run on, Spark's plan as well."""
         kinds = [k for k, _ in self.nodes]
         barriers = [k for k in kinds if k in ("order_by", "keyed", "group_by", "aggregate")]
         return {
@@ -238,9 +251,15 @@ class Query:
             "barriers": barriers,
             "retained_state": [STATE[k] for k in kinds if k in STATE],
             "early_termination": any(k in ("take", "take_while") for k in kinds),
+            "allocations_per_result": int(any(k in ("select", "chunk", "window", "pairwise") for k in kinds)),
+            **({} if o is None else {"plan": self.run(o, **params)._jdf.queryExecution().explainString(_formatted(o.df))}),
         }
 
 
+def _formatted(df: DataFrame) -> Any:
+    return df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+
 def query(of: DataFrame | Ordered | tuple[str, ...] | list[str]) -> Query:
     if isinstance(of, Ordered):
         return Query(tuple(of.fields))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.errors import EngineError, unsupported
 from ..plans.schema import Schema
+from ..plans.shipping import ship
 
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -77,6 +78,12 @@ def encode_value(x: Schema, v: Any, out: bytearray) -> None:
         for n, f in x.items:
             if n not in names or v.get(n) is not None:
                 encode_value(f, v[n], out)
+    elif k == "union":
+        at = next((i for i, o in enumerate(x.items) if fits(o, v)), None)
+        if at is None:
+            raise bad("no option of the union fits")
+        out.append(at)
+        encode_value(x.items[at], v, out)
     elif k == "discriminated_union":
         tag, options = x.items
         at = next(i for i, o in enumerate(options) if o.fields[tag].items[0] == v[tag])
@@ -89,6 +96,21 @@ def encode_value(x: Schema, v: Any, out: bytearray) -> None:
         raise unsupported(f"{k} has no binary form")
 
 
+def fits(x: Schema, v: Any) -> bool:
+    """Whether a value has the shape that an option of a union describes."""
+    k = x.kind
+    if v is None:
+        return x.optional_ or x.nullable_
+    if k == "object":
+        return isinstance(v, dict) and all(fits(f, v.get(n)) for n, f in x.items) and not any(w is not None and n not in x.fields for n, w in v.items())
+    if k in ("array", "set"):
+        return isinstance(v, list) and all(fits(x.items, e) for e in v)
+    if k in ("literal", "enum"):
+        return v in x.items
+    kinds = {"string": str, "template_literal": str, "boolean": bool, "date": dt.datetime, "bigint": (int, Decimal), "int": int, "number": (int, float)}
+    return isinstance(v, kinds.get(k, object)) and (k == "boolean" or not isinstance(v, bool))
+
+
 def decode_value(x: Schema, b: memoryview, at: int) -> tuple[Any, int]:
     k = x.kind
     fixed = {"number": "<d", "int": "<i"}
@@ -137,6 +159,10 @@ def decode_value(x: Schema, b: memoryview, at: int) -> tuple[Any, int]:
             else:
                 out[n], at = decode_value(f, b, at)
         return out, at
+    if k == "union":
+        v, at = decode_value(x.items[b[at]], b, at + 1)
+        names = [f.name for f in x.spark().fields] if isinstance(v, dict) else []
+        return {n: v.get(n) for n in names} if isinstance(v, dict) else v, at
     if k == "discriminated_union":
         v, at = decode_value(x.items[1][b[at]], b, at + 1)
         return {f.name: v.get(f.name) for f in x.spark().fields}, at
@@ -165,6 +191,14 @@ class Codec:
         encode_value(self.schema, v, out)
         return bytes(out)
 
+    def encode_into(self, v: Any, target: bytearray, at: int = 0) -> int:
+        """Writes into ``target`` from ``at`` on; how many bytes. A target that is too small isn't touched."""
+        made = self.encode_one(v)
+        if at + len(made) > len(target):
+            raise bad(f"{len(made)} bytes don't fit into {len(target) - at}")
+        target[at : at + len(made)] = made
+        return len(made)
+
     def decode_one(self, b: bytes) -> Any:
         if not b or b[0] != self.version:
             raise bad(f"version {b[0] if b else None} instead of {self.version}")
@@ -172,6 +206,7 @@ class Codec:
 
     def encode(self, df: DataFrame) -> DataFrame:
         """(bytes) of each row."""
+        ship(df.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -183,6 +218,7 @@ class Codec:
         """The rows that the bytes stand for."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        ship(df.sparkSession)
         kind = self.schema.spark()
         arrow = to_arrow_schema(kind)
 

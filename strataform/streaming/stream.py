@@ -97,6 +97,87 @@ def window_by_key(stream: DataFrame, key: str, order: str, field: str, n: int) -
     return _groups(stream, key, order, field, count_of(n, 1), 1)
 
 
+def _each(stream: DataFrame, key: str, order: str, field: str, start: Any, state_type: str, step: Callable[[Any, Any], tuple[Any, bool]]) -> DataFrame:
+    """(key, order, value): of each key's values in order those that ``step(state, value)`` lets through."""
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        held, keep = state.get[0] if state.exists else start, []
+        for x in rows[field].tolist():
+            held, ok = step(held, x)
+            keep.append(bool(ok))
+        state.update((held,))
+        kept = rows[keep]
+        yield pd.DataFrame({key: [k[0]] * len(kept), order: kept[order].to_numpy(), "value": kept[field].to_numpy()})
+
+    ddl = f"{key} {kinds[key]}, {order} {kinds[order]}, value {kinds[field]}"
+    return stream.groupBy(key).applyInPandasWithState(run, ddl, f"held {state_type}", "append", GroupStateTimeout.NoTimeout)
+
+
+def take_by_key(stream: DataFrame, key: str, order: str, field: str, n: int) -> DataFrame:
+    """(key, order, value): each key's first ``n``; the state is their number."""
+    count_of(n, 1)
+    return _each(stream, key, order, field, 0, "long", lambda seen, _: (min(seen + 1, n + 1), seen < n))
+
+
+def drop_by_key(stream: DataFrame, key: str, order: str, field: str, n: int) -> DataFrame:
+    """(key, order, value): what follows each key's first ``n``."""
+    count_of(n, 0)
+    return _each(stream, key, order, field, 0, "long", lambda seen, _: (min(seen + 1, n), seen >= n))
+
+
+def take_while_by_key(stream: DataFrame, key: str, order: str, field: str, holds: Callable[[Any], bool]) -> DataFrame:
+    """(key, order, value): each key's values up to the first that doesn't hold."""
+
+    def step(over: bool, x: Any) -> tuple[bool, bool]:
+        over = over or not holds(x)
+        return over, not over
+
+    return _each(stream, key, order, field, False, "boolean", step)
+
+
+def drop_while_by_key(stream: DataFrame, key: str, order: str, field: str, holds: Callable[[Any], bool]) -> DataFrame:
+    """(key, order, value): each key's values from the first that doesn't hold."""
+
+    def step(begun: bool, x: Any) -> tuple[bool, bool]:
+        begun = begun or not holds(x)
+        return begun, begun
+
+    return _each(stream, key, order, field, False, "boolean", step)
+
+
+def group_adjacent_by_key(stream: DataFrame, key: str, order: str, by: str, field: str) -> DataFrame:
+    """(key, order of the last, items): each key's runs of equal ``by``; the last run waits for what ends it.
+
+    NULL equals NULL; pandas doesn't tell NaN from NULL, so it does here as well.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        last, begun, last_at, items = (*state.get[:3], list(state.get[3])) if state.exists else (None, False, None, [])
+        at, out = [], []
+        for place, x, value in zip(rows[order].tolist(), rows[by].astype(object).where(rows[by].notna(), None).tolist(), rows[field].tolist(), strict=True):
+            if begun and x != last:
+                at.append(last_at)
+                out.append(items)
+                items = []
+            last, begun, last_at = x, True, place
+            items.append(value)
+        state.update((last, begun, last_at, items))
+        yield pd.DataFrame({key: [k[0]] * len(out), order: pd.Series(at, dtype=rows[order].dtype), "items": out})
+
+    ddl = f"{key} {kinds[key]}, {order} {kinds[order]}, items array<{kinds[field]}>"
+    held = f"last {kinds[by]}, begun boolean, at {kinds[order]}, items array<{kinds[field]}>"
+    return stream.groupBy(key).applyInPandasWithState(run, ddl, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def keyed(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, position, the last row): kept up to date, the last row of each key, and where its first one stood."""
+    return stream.groupBy(key).agg(F.min(order).alias("position"), F.max_by(F.struct(*stream.columns), F.col(order)).alias("value"))
+
+
 def aggregated(stream: DataFrame, key: str, field: str) -> DataFrame:
     """sum, count, avg, min and max of each key, kept up to date."""
     return stream.groupBy(key).agg(F.coalesce(F.sum(field), F.lit(0)).alias("sum"), F.count(F.lit(1)).alias("count"), F.avg(field).alias("avg"), F.min(field).alias("min"), F.max(field).alias("max"))
