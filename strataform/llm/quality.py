@@ -38,6 +38,8 @@ from .shared import fresh, in_parts, remainder, ship, table, thrifty, values
 SLOTS = 1 << 18
 DIM = 48
 SLICES = 64
+#: Texts are worked on in parts of so many bytes: a part's words have rows of their own.
+PART = 1 << 20
 TRAIN_MOST = 12_000
 HIDDEN = 32
 FEATURES = 2 * DIM + 3
@@ -101,17 +103,18 @@ def neighbours(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Slots, and for each the sum of the index vectors of what stands beside its words."""
     b = Batch(texts)
     slots, of = np.unique(slots_of(b.hashes), return_inverse=True)
-    total = np.zeros(len(slots) * DIM)
+    total = np.zeros((len(slots), DIM), np.int32)
     if len(b.ids) > 1:
         inside = np.ones(len(b.ids) - 1, bool)
         inside[b.ends[(b.ends > 0) & (b.ends < len(b.ids))] - 1] = False
         left, right = b.ids[:-1][inside], b.ids[1:][inside]
         places, signs = places_of(b.hashes)
         for own, other in ((left, right), (right, left)):
-            at = of[own] * DIM
-            for place, sign in zip(places.T, signs.T, strict=True):
-                total += np.bincount(at + place[other], weights=sign[other], minlength=len(total))
-    return slots, total.reshape(-1, DIM).astype(np.int64)
+            at = of[own] * 8
+            for k, (place, sign) in enumerate(zip(places.T, signs.T, strict=True)):
+                more = np.bincount(at + (place[other] - 8 * k), weights=sign[other], minlength=8 * len(slots))
+                total[:, 8 * k : 8 * k + 8] += more.reshape(-1, 8).astype(np.int32)
+    return slots, total
 
 
 def pooled(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ class Model:
         return np.maximum(((x - self.mean) / self.spread) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
-        z = [self.logits(pooled(part, self.vectors).astype(np.float64)) for part in in_parts(texts)]
+        z = [self.logits(pooled(part, self.vectors).astype(np.float64)) for part in in_parts(texts, PART)]
         return 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.empty(0)]) / self.temperature, -30, 30)))
 
 
@@ -187,22 +190,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     each = SLOTS // SLICES
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SLOTS, DIM), np.int64)
+        total = np.zeros((SLOTS, DIM), np.int32)  # a task has far fewer than 2^31 words
         for b in batches:
-            for part in in_parts(values(b.column(0))):
+            for part in in_parts(values(b.column(0)), PART):
                 slots, more = neighbours(part)
                 total[slots] += more
         used = np.flatnonzero(total.any(axis=1))
         for k, own in enumerate(np.split(used, np.searchsorted(used, np.arange(each, SLOTS, each)))):
             if len(own):
                 raw = [own - k * each, *total[own].T]  # number by number, and low bytes together: small numbers compress well
-                yield packed([(k, zstandard.compress(np.ascontiguousarray(np.array(raw, "<i8").view(np.uint8).reshape(DIM + 1, -1, 8).transpose(0, 2, 1)).tobytes(), 1))])
+                yield packed([(k, zstandard.compress(np.ascontiguousarray(np.array(raw, "<i4").view(np.uint8).reshape(DIM + 1, -1, 4).transpose(0, 2, 1)).tobytes(), 1))])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
-                rows = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(DIM + 1, 8, -1).transpose(0, 2, 1)).view("<i8").reshape(DIM + 1, -1)
+                rows = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(DIM + 1, 4, -1).transpose(0, 2, 1)).view("<i4").reshape(DIM + 1, -1)
                 total.setdefault(k, np.zeros((each, DIM), np.int64))[rows[0]] += rows[1:].T
         yield packed([(k, zstandard.compress(scaled(x).tobytes(), 1)) for k, x in total.items()])
 
@@ -230,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_most: int = TRAIN_MOST) -> Mod
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [r for part in in_parts(values(b.column(2))) for r in pooled(part, sent.value)]
+            x = [r for part in in_parts(values(b.column(2)), PART) for r in pooled(part, sent.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "order", "x"])
 
     #: At most train_most rows of two numbers.

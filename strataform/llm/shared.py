@@ -140,11 +140,11 @@ def values(column: pa.Array) -> Iterator:
         yield from column.slice(k, 128).to_pylist()
 
 
-def in_parts(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
-    """The texts in order, in parts of ``PART_BYTES`` at most (or one text)."""
+def in_parts(texts: Iterable[bytes | None], most: int = PART_BYTES) -> Iterator[list[bytes | None]]:
+    """The texts in order, in parts of ``most`` bytes at most (or one text)."""
     part, size = [], 0
     for text in texts:
-        if part and size + len(text or b"") > PART_BYTES:
+        if part and size + len(text or b"") > most:
             yield part
             part, size = [], 0
         part.append(text)
