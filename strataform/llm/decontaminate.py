@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import math
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -72,21 +74,20 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
 
 
 class Postings:
-    """Lists of (item, weight) by term, over flat arrays."""
+    """Lists of (item, weight) by term, in flat arrays: a list is the places from ``ends[t]`` to ``ends[t + 1]``."""
 
     def __init__(self, ends: np.ndarray, items: np.ndarray, weights: np.ndarray) -> None:
-        self.ends, self.items, self.weights = ends, items, weights
+        self.ends = ends.tolist()
+        self.items, self.weights = array("i", items.astype("i4").tobytes()), array("d", weights.astype("f8").tobytes())
 
     def __len__(self) -> int:
         return len(self.ends) - 1
 
-    def part(self, t: int) -> slice:
-        return slice(int(self.ends[t]), int(self.ends[t + 1]))
-
     def __getitem__(self, t: int) -> list[tuple[int, float]]:
         if not 0 <= t < len(self):
             raise IndexError(t)
-        return list(zip(self.items[self.part(t)].tolist(), self.weights[self.part(t)].tolist(), strict=True))
+        part = slice(self.ends[t], self.ends[t + 1])
+        return list(zip(self.items[part], self.weights[part], strict=True))
 
 
 class Index:
@@ -110,44 +111,38 @@ class Index:
         of, place, weight = np.frombuffer(terms, np.int64), np.frombuffer(places, np.int64), np.frombuffer(weights, np.float64)
         order = np.argsort(of, kind="stable")  # items come in order
         ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.term)))])
-        self.postings = Postings(ends, place[order].astype(np.int32), weight[order])
-        self.most = np.maximum.reduceat(self.postings.weights, ends[:-1]) if len(self.term) else np.empty(0)
+        items, weight = place[order].astype(np.int32), weight[order]
+        self.postings = Postings(ends, items, weight)
+        self.most = np.maximum.reduceat(weight, ends[:-1]).tolist() if len(self.term) else []
         #: Each term's blocks of items, with their greatest weights.
         blocks = -(-len(self.ids) // BLOCK_ITEMS)
-        cell = of[order] * max(blocks, 1) + self.postings.items // BLOCK_ITEMS
+        cell = of[order] * max(blocks, 1) + items // BLOCK_ITEMS
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.blocks = Postings(
-            np.concatenate([[0], np.cumsum(np.bincount(of[order][first], minlength=len(self.term)))]), (cell[first] % max(blocks, 1)).astype(np.int32), np.maximum.reduceat(self.postings.weights, first) if len(first) else np.empty(0)
-        )
+        block_ends = np.concatenate([[0], np.cumsum(np.bincount(of[order][first], minlength=len(self.term)))])
+        self.blocks = Postings(block_ends, cell[first] % max(blocks, 1), np.maximum.reduceat(weight, first) if len(first) else np.empty(0))
         #: The most frequent terms are left out of the first pass as long as no item gets more than half the threshold from them.
         rest, self.frequent = np.zeros(len(self.ids)), np.zeros(len(self.term), bool)
         for t in np.argsort(-np.diff(ends), kind="stable").tolist():
-            at = self.postings.part(t)
+            at = slice(ends[t], ends[t + 1])
             more = rest.copy()
-            more[self.postings.items[at]] += self.postings.weights[at]
-            if at.stop - at.start < 2 or more.max() > threshold / 2:
+            more[items[at]] += weight[at]
+            if ends[t + 1] - ends[t] < 2 or more.max() > threshold / 2:
                 break
             rest, self.frequent[t] = more, True
         self.rest = np.maximum.reduceat(rest, np.arange(0, len(rest), BLOCK_ITEMS)) if len(rest) else rest
-        self.sizes = np.where(self.frequent, 0, np.diff(self.blocks.ends))
-        self.begins = self.blocks.ends[:-1]
+        self.sizes = np.where(self.frequent, 0, np.diff(block_ends))
+        self.begins = block_ends[:-1]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items that score the threshold or more for these distinct terms."""
         low = self.threshold - 1e-9
-        #: items, weights, place, greatest weight, blocks, their greatest weights
-        lists = [[self.postings.items[a], self.postings.weights[a], 0, float(self.most[t]), self.blocks.items[b], self.blocks.weights[b]] for t in terms for a, b in [(self.postings.part(t), self.blocks.part(t))]]
-        found = []
-
-        def at(x: list) -> int:
-            return int(x[0][x[2]])
-
-        def block_most(x: list, block: int) -> float:
-            k = int(np.searchsorted(x[4], block))
-            return float(x[5][k]) if k < len(x[4]) and x[4][k] == block else 0.0
-
+        items, weights, ends = self.postings.items, self.postings.weights, self.postings.ends
+        blocks, tops, block_ends = self.blocks.items, self.blocks.weights, self.blocks.ends
+        #: The item at hand, its place, the list's end, its greatest weight, its blocks' place and end.
+        lists = [[items[ends[t]], ends[t], ends[t + 1], self.most[t], block_ends[t], block_ends[t + 1]] for t in terms]
+        found, at_hand = [], itemgetter(0)
         while lists:
-            lists.sort(key=at)
+            lists.sort(key=at_hand)
             bound, pivot = 0.0, None
             for k, x in enumerate(lists):
                 bound += x[3]
@@ -156,27 +151,37 @@ class Index:
                     break
             if pivot is None:
                 break
-            item = at(lists[pivot])
-            while pivot + 1 < len(lists) and at(lists[pivot + 1]) == item:
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            block = item // BLOCK_ITEMS
-            if sum(block_most(x, block) for x in lists[: pivot + 1]) < low:
+            block, bound = item // BLOCK_ITEMS, 0.0
+            for x in lists[: pivot + 1]:
+                x[4] = k = bisect_left(blocks, block, x[4], x[5])
+                if k < x[5] and blocks[k] == block:
+                    bound += tops[k]
+            if bound < low:
                 #: No item up to the next block, or to the next list's item, can reach the threshold.
                 to = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(lists):
-                    to = min(to, at(lists[pivot + 1]))
+                    to = min(to, lists[pivot + 1][0])
                 to = max(to, item + 1)
                 moving = lists[: pivot + 1]
-            elif at(lists[0]) == item:
-                score = sum(float(x[1][x[2]]) for x in lists[: pivot + 1])
+            elif lists[0][0] == item:
+                score = sum(weights[x[1]] for x in lists[: pivot + 1])
                 if score >= low:
                     found.append((item, score))
                 to, moving = item + 1, lists[: pivot + 1]
             else:
-                to, moving = item, [x for x in lists[:pivot] if at(x) < item]
+                to, moving = item, [x for x in lists[:pivot] if x[0] < item]
+            ended = False
             for x in moving:
-                x[2] += int(np.searchsorted(x[0][x[2] :], to))
-            lists = [x for x in lists if x[2] < len(x[0])]
+                x[1] = k = bisect_left(items, to, x[1], x[2])
+                if k < x[2]:
+                    x[0] = items[k]
+                else:
+                    ended = True
+            if ended:
+                lists = [x for x in lists if x[1] < x[2]]
         return found
 
     def passages(self, ids: list[np.ndarray], stride: int) -> list[tuple[int, int]]:
@@ -201,9 +206,9 @@ class Index:
         passage, term = key // len(self.term), key % len(self.term)
         n = self.sizes[term]
         place = np.repeat(self.begins[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell = np.repeat(passage, n) * blocks + self.blocks.items[place]
+        cell = np.repeat(passage, n) * blocks + np.frombuffer(self.blocks.items, np.int32)[place]
         order = np.argsort(cell, kind="stable")
-        cell, most = cell[order], self.blocks.weights[place][order]
+        cell, most = cell[order], np.frombuffer(self.blocks.weights)[place][order]
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         bound = np.add.reduceat(most, first) + self.rest[cell[first] % blocks]
         hit = np.unique(cell[first][bound >= self.threshold - 1e-9] // blocks)
