@@ -17,3 +17,9 @@ def docs(spark):
 @pytest.fixture
 def empty(docs):
     return docs.where("false")
+
+
+def pytest_collection_modifyitems(items):
+    """``test_near`` (see the README) contradicts the near-copy stage and fails; it runs last, so that ``-x`` hides no other test."""
+    last = [x for x in items if x.nodeid.endswith("tests/llm/test_pipeline.py::test_near")]
+    items[:] = [x for x in items if x not in last] + last
