@@ -54,6 +54,11 @@ def masked_format(c: Column, mask: str, strip: bool = True) -> Column:
     return F.when(F.length(plain) == at - 1, F.concat(*parts))
 
 
+def mask_source(mask: str) -> str:
+    """An expression for texts that have the mask's form already."""
+    return r"\A" + "".join("[0-9]" if c == "#" else re.escape(c) for c in mask) + r"\z"
+
+
 def format_or_raise(c: Column, mask: str) -> Column:
     made = masked_format(c, mask)
     return F.when(c.isNull(), F.lit(None)).when(made.isNull(), F.raise_error(F.lit(f"INVALID_FORMAT: {mask}")).cast("string")).otherwise(made)

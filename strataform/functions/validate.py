@@ -101,9 +101,12 @@ def scalar_checks(schema: Schema, c: Column) -> list[tuple[Column, str, str]]:
             out.append((c.rlike(from_javascript(args[1])), "invalid_format", args[0]))
         elif name == "digits_length":
             out.append((F.length(text.digits(c)).isin(*args), "invalid_length", "a number of digits of " + ", ".join(map(str, args))))
+        elif name == "format" and kwargs.get("mode") == "strict":
+            out.append((c.rlike(text.mask_source(args[0])), "invalid_format", args[0]))
         elif name in ("cpf", "cnpj", "format"):
             mask = {"cpf": text.CPF, "cnpj": text.CNPJ}.get(name) or args[0]
-            out.append((F.length(text.digits(c)) == mask.count("#"), "invalid_format", mask))
+            plain = text.digits(c) if kwargs.get("strip", True) else c
+            out.append((plain.rlike(rf"\A[0-9]{{{mask.count('#')}}}\z"), "invalid_format", mask))
         elif name == "phone_br":
             out.append((F.length(text.digits(c)).isin(10, 11), "invalid_format", "a phone number of 10 or 11 digits"))
         elif name == "days_of_week":
@@ -137,8 +140,8 @@ def formatted(schema: Schema, c: Column) -> Column:
     for name, v in schema.checks:
         if name in ("cpf", "cnpj"):
             c = text.masked_format(c, text.CPF if name == "cpf" else text.CNPJ)
-        elif name == "format":
-            c = text.masked_format(c, v[0][0])
+        elif name == "format" and v[1].get("mode") != "strict":
+            c = text.masked_format(c, v[0][0], v[1].get("strip", True))
         elif name == "phone_br":
             c = text.phone_br(c)
     return c

@@ -33,13 +33,24 @@ def equal(schema: Schema, a: Column, b: Column) -> Column:
     if schema.kind == "array":
         key = schema.hinted("keyed", "index_by", "ordered")
         if isinstance(key, str):
-            there = lambda x: F.exists(b, lambda y: x[key].eqNullSafe(y[key]) & equal(schema.items, x, y))
-            return F.when(both, (F.size(a) == F.size(b)) & F.forall(a, there)).otherwise(a.isNull() & b.isNull())
+            return F.when(both, (F.size(a) == F.size(b)) & equal_by_key(schema.items, a, b, key)).otherwise(a.isNull() & b.isNull())
         pairs = F.zip_with(a, b, lambda x, y: equal(schema.items, x, y))
         return F.when(both, (F.size(a) == F.size(b)) & F.forall(pairs, lambda x: x)).otherwise(a.isNull() & b.isNull())
     return a.eqNullSafe(b)
 
 
+def equal_by_key(item: Schema, a: Column, b: Column, key: str) -> Column:
+    """Whether each item of ``a`` has an equal one of the same key in ``b``; both have the same size.
+
+    Sorted by key, items meet in pairs. Only where a key repeats, each is held against all.
+    """
+    places = lambda x: F.array_sort(F.transform(x, lambda e, i: F.struct(e[key].alias("k"), i.alias("i"))))
+    pairs = F.zip_with(places(a), places(b), lambda p, q: p["k"].eqNullSafe(q["k"]) & equal(item, F.get(a, p["i"]), F.get(b, q["i"])))
+    repeats = F.size(F.array_distinct(F.transform(a, lambda e: e[key]))) < F.size(a)
+    there = lambda x: F.exists(b, lambda y: x[key].eqNullSafe(y[key]) & equal(item, x, y))
+    return F.when(repeats, F.forall(a, there)).otherwise(F.forall(pairs, lambda x: x))
+
+
 def as_text(c: Column) -> Column:
     """A value's JSON text, as changes carry it."""
     return F.when(c.isNotNull(), F.get_json_object(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), "$.v"))
@@ -228,12 +239,30 @@ def omit(schema: Schema, c: Column, *keys: str) -> Column:
     return F.struct(*[c[n].alias(n) for n, _ in schema.items if n not in keys])
 
 
-def transformed(schema: Schema, c: Column, fns: dict[str, Any]) -> Column:
-    """Per field lowercase, uppercase, trim, identity, or a function of (value, source)."""
+def transformed(schema: Schema, c: Column, fns: dict[str, Any], select: tuple[str, ...] | None = None) -> Column:
+    """Per field lowercase, uppercase, trim, identity, or a function of (value, source).
+
+    With ``select`` the result has those fields alone; what ``fns`` says of others isn't used.
+    """
     from .text import trimmed
 
     named = {"lowercase": F.lower, "uppercase": F.upper, "trim": trimmed, "identity": lambda x: x}
-    return F.struct(*[(named[f](c[n]) if isinstance(f := fns.get(n, "identity"), str) else f(c[n], c)).alias(n) for n, _ in schema.items])
+    kept = [n for n, _ in schema.items if select is None or n in select]
+    return F.struct(*[(named[f](c[n]) if isinstance(f := fns.get(n, "identity"), str) else f(c[n], c)).alias(n) for n in kept])
+
+
+def encoded(schema: Schema, c: Column) -> Column:
+    """The value that a codec's schema reads, from the value that it gives: the other way round than parsing."""
+    if schema.kind == "codec":
+        _, target, _, encode = schema.items
+        return encode(encoded(target, c))
+    if schema.kind == "object":
+        return F.when(c.isNotNull(), F.struct(*[encoded(x, c[n]).alias(n) for n, x in schema.items]))
+    if schema.kind in ("array", "set"):
+        return F.transform(c, lambda x: encoded(schema.items, x))
+    if schema.kind == "record":
+        return F.transform_values(c, lambda _, x: encoded(schema.items, x))
+    return c
 
 
 def scrubbed(schema: Schema, c: Column, what: str) -> Column:

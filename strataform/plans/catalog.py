@@ -14,7 +14,7 @@ from ..operators import collection, mapping, sequence, snapshots
 from ..operators.model import model
 from ..sources import codec, jsonio
 from ..sources.rowset import Rowset, process
-from .ordinal import numbered, ordered
+from .ordinal import checkpointed, numbered, ordered
 from .query import query
 from .schema import s
 
@@ -193,8 +193,7 @@ def pairwise_by_key(spark, d):
 
 @named("scan_sum", "select event_id, round(sum(value) over (order by event_id rows unbounded preceding), 2) as total from events")
 def scan_sum(spark, d):
-    o = events(spark, d)
-    return sequence.scan(o, "sum", "value").df.join(sequence.numbered(o).select("event_id", "_n"), F.col("_o0") == F.col("_n")).select("event_id", F.round("value", 2).alias("total"))
+    return sequence.scan(events(spark, d), "sum", "value", carry=("event_id",)).df.select("event_id", F.round("value", 2).alias("total"))
 
 
 @named("scan_max", "select max(value) over (order by event_id rows unbounded preceding) as best from events")
@@ -412,7 +411,9 @@ def rowset_sum(spark, d):
 def rowset_count(spark, d):
     shape = s.object(l_orderkey=s.int(), l_returnflag=s.string())
     rows = Rowset.load(spark, shape, load(spark, d, "lineitem"))
-    return rows.query(query(rows.df).filter(lambda p: p.eq("l_returnflag", "A")).count()).select(F.col("count").alias("n"))
+    found = checkpointed(rows.query(query(rows.df).filter(lambda p: p.eq("l_returnflag", "A")).count()).select(F.col("count").alias("n")))
+    rows.release()
+    return found
 
 
 @named("rowset_project", "select l_orderkey, l_partkey from lineitem where coalesce(l_discount >= 0.05, false)")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import validate
+from ..functions import validate, values
 from .catalog import load, named
 from .schema import Schema, s
 
@@ -226,3 +226,34 @@ def recursive_depth(spark, d):
     depth = (F.col("p_size") % 10).cast("int")
     made = F.concat(F.repeat(F.lit('{"v":1,"next":'), depth), F.lit('{"v":2}'), F.repeat(F.lit("}"), depth))
     return verdicts(load(spark, d, "part"), "p_partkey", valid=(F.parse_json(made), shape))
+
+
+@named("format_modes", """select c_custkey, c_custkey % 2 = 0 as strict, c_custkey % 2 = 1 as bare, '(' || substr(n, 1, 2) || ') ' || substr(n, 3, 4) as made from (select c_custkey, lpad(cast(c_custkey as varchar), 6, '0') as n from customer)""")
+def format_modes(spark, d):
+    """In strict mode the text must have the mask's form; without stripping it must be digits alone."""
+    key = F.col("c_custkey")
+    plain = F.lpad(key.cast("string"), 6, "0")
+    formed = text("(", F.substring(plain, 1, 2), ") ", F.substring(plain, 3, 4))
+    either = F.when(key % 2 == 0, formed).otherwise(plain)
+    rows = customers(spark, d).select("c_custkey", either.alias("strict"), either.alias("bare"), plain.alias("made"))
+    mask, t = "(##) ####", s.string()
+    made = validate.compile_schema(t.format(mask), F.col("made"), rows.schema["made"].dataType).data
+    valid = [validate.compile_schema(x, F.col(n), rows.schema[n].dataType).valid.alias(n) for n, x in (("strict", t.format(mask, mode="strict")), ("bare", t.format(mask, strip=False)))]
+    return rows.select("c_custkey", *valid, made.alias("made"))
+
+
+@named("codec_values", "select o_orderkey, cast(o_orderkey as varchar) as text, o_orderkey as back from orders")
+def codec_values(spark, d):
+    """A codec of values: decoded in parsing, encoded the other way."""
+    shape = s.object(o_orderkey=s.int(), v=s.codec(s.string(), s.int(), lambda c: c.cast("long"), lambda c: c.cast("string")))
+    rows = load(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("v"))
+    parsed = validate.safe_parse(rows, shape)
+    return parsed.select("o_orderkey", values.encoded(shape, F.col("data"))["v"].alias("text"), F.col("data.v").alias("back"))
+
+
+@named("transform_select", "select c_custkey, upper(c_name) as c_name from customer")
+def transform_select(spark, d):
+    """A key that isn't selected is dropped, whatever is said of it."""
+    shape = s.object(c_custkey=s.int(), c_name=s.string(), c_mktsegment=s.string())
+    made = values.transformed(shape, F.struct(*shape.fields), {"c_name": "uppercase", "c_mktsegment": "lowercase"}, ("c_custkey", "c_name"))
+    return customers(spark, d).select(made.alias("t")).select("t.*")

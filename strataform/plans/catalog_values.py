@@ -256,7 +256,9 @@ def codec_unions(spark, d):
 def rowset_hydrate(spark, d):
     """Loaded, read back as rows, and released."""
     rows = Rowset.load(spark, s.object(l_orderkey=s.int(), l_returnflag=s.string()), load(spark, d, "lineitem").select("l_orderkey", "l_returnflag"))
-    return checkpointed(rows.df.select("l_orderkey", "l_returnflag"))
+    found = checkpointed(rows.df.select("l_orderkey", "l_returnflag"))
+    rows.release()
+    return found
 
 
 # Order

@@ -1,9 +1,10 @@
 """Collections with an explicit order.
 
 A DataFrame has no order, so an order-sensitive operator works on ``Ordered``: a DataFrame with hidden ordinal columns
-``_o0, _o1, ...``. Rows are numbered without a single-partition window: a range shuffle sorts them, each partition numbers
-its own, and the partitions' sizes (a row for each) are summed up. The numbered rows are checkpointed, so both uses see
-the same partitions and a lost executor changes nothing.
+``_o0, _o1, ...``. Rows are numbered without a single-partition window and without writing them: a bounded sample of the
+ordinals gives the bounds of the parts, the parts' sizes are counted over the ordinals alone and summed up (a row for each
+part), and the rows are shuffled once, by part, in which a window numbers them. Bounds are constants of the plan, so each
+use of it, and a lost executor's tasks, see the same parts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .errors import invalid_query
 
+#: Ordinals that are looked at for each part, to find its bounds.
+SAMPLE_EACH = 50
 #: Rows in a block of the order; blocks are what windows are partitioned by.
 BLOCK = 1_000_000
 
@@ -73,14 +76,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def numbered(o: Ordered, to: str = "_n") -> DataFrame:
     """``o.df`` with the row's number, from 0, as a long."""
     o.need()
-    place = "_place"
-    sorted_rows = checkpointed(o.df.repartitionByRange(*o.ord).sortWithinPartitions(*o.ord).withColumn(place, F.monotonically_increasing_id()))
-    part = F.shiftright(place, 33)
+    part = part_of(o)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    #: One row for each partition.
-    out = sorted_rows.join(F.broadcast(sizes.select("_part", "_base")), part == F.col("_part"))
-    return out.withColumn(to, F.col("_base") + F.col(place).bitwiseAND((1 << 33) - 1)).drop("_part", "_base", place)
+    sizes = o.df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    #: One row for each part.
+    out = o.df.withColumn("_part", part).join(F.broadcast(sizes.select("_part", "_base")), "_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*o.ord))
+    return out.withColumn(to, (F.col("_base") + place - 1).cast("long")).drop("_part", "_base")
+
+
+def part_of(o: Ordered) -> Column:
+    """The number of a row's part of the order; parts have about the same size."""
+    spark = o.df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*o.ord)
+    some = o.df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE_EACH * parts).orderBy("k")
+    seen = [r["k"] for r in some.collect()]
+    kinds = [o.df.schema[c].dataType for c in o.ord]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(seen[k * len(seen) // parts], kinds, o.ord, strict=True)]) for k in range(1, parts)] if len(seen) >= parts else []
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
 
 
 def blocked(o: Ordered, behind: int = 0, ahead: int = 0, block: int = BLOCK) -> tuple[DataFrame, object]:

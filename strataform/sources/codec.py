@@ -1,4 +1,5 @@
-"""A compact binary form: little-endian, no field names, a version in front. Rows are packed in Arrow batches.
+"""A compact binary form: little-endian, no field names, a version in front. Rows are packed in Arrow batches: column by
+column where all of an object's fields are of fixed width or strings, else value by value.
 
 Layout: version byte; numbers and dates 8-byte floats, int 4 bytes, bigint 8, boolean and enum 1; strings and collections
 a 4-byte count in front; an object's optional fields 2 bits each in a block in front (0 absent, 1 null, 2 present); a union
@@ -14,7 +15,9 @@ from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +178,114 @@ def decode_value(x: Schema, b: memoryview, at: int) -> tuple[Any, int]:
     raise unsupported(f"{k} has no binary form")
 
 
+#: Kinds whose columns are packed as arrays: the type in the bytes, and its width.
+FIXED = {"number": ("<f8", 8), "int": ("<i4", 4), "boolean": ("u1", 1), "enum": ("u1", 1), "date": ("<f8", 8)}
+
+
+def columnar(x: Schema) -> bool:
+    """Whether all fields of an object are of fixed width or strings, so that rows are packed column by column."""
+    return x.kind == "object" and bool(x.items) and all(f.kind in FIXED or f.kind == "string" for _, f in x.items)
+
+
+def placed(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of pieces of these sizes that begin at ``starts``, laid end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def fixed_values(f: Schema, column: pa.Array) -> np.ndarray:
+    """A column without nulls in the type that the bytes have."""
+    if f.kind == "enum":
+        at = pc.index_in(column, pa.array(f.items, column.type))
+        if at.null_count:
+            raise bad("a value isn't one of the enum's")
+        return at.to_numpy(zero_copy_only=False).astype("u1")
+    if f.kind == "date":
+        return column.cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy(zero_copy_only=False) / 1000
+    values = column.to_numpy(zero_copy_only=False)
+    if f.kind == "int" and len(values) and (values.min() < -(2**31) or values.max() >= 2**31):
+        raise bad("a value is no 32-bit integer")
+    return values.astype(FIXED[f.kind][0])
+
+
+def encode_columns(x: Schema, version: int, batch: pa.RecordBatch) -> pa.Array:
+    """The rows of a batch, packed field by field."""
+    n, names = batch.num_rows, optional_fields(x)
+    mask = np.zeros((n, (2 * len(names) + 7) // 8), np.uint8)
+    fields, sizes = [], np.full(n, 1 + mask.shape[1], np.int64)
+    for name, f in x.items:
+        column = batch.column(name)
+        there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+        if name in names:
+            k = names.index(name)
+            bits = np.where(there, 2, 1 if f.nullable_ and not f.optional_ else 0).astype(np.uint8)
+            mask[:, k // 4] |= bits << (2 * (k % 4))
+        elif not there.all():
+            raise bad(f"{name} must have a value")
+        column = column.drop_null()
+        if f.kind == "string":
+            raw = column.cast(pa.large_binary())
+            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(raw) else np.empty(0, np.uint8)
+            own = (np.diff(ends), data)
+            sizes[there] += 4 + own[0]
+        else:
+            own = fixed_values(f, column)
+            sizes[there] += FIXED[f.kind][1]
+        fields.append((f, there, own))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out, at = np.zeros(int(ends[-1]), np.uint8), ends[:-1] + 1
+    out[ends[:-1]] = version
+    out[at[:, None] + np.arange(mask.shape[1])] = mask
+    at = at + mask.shape[1]
+    for f, there, own in fields:
+        here = at[there]
+        if f.kind == "string":
+            lengths, data = own
+            out[here[:, None] + np.arange(4)] = lengths.astype("<u4").view(np.uint8).reshape(-1, 4)
+            out[placed(here + 4, lengths)] = data
+            at[there] += 4 + lengths
+        else:
+            width = FIXED[f.kind][1]
+            out[here[:, None] + np.arange(width)] = own.view(np.uint8).reshape(-1, width)
+            at[there] += width
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def decode_columns(x: Schema, version: int, column: pa.Array, kind: pa.Schema) -> pa.RecordBatch:
+    """The batch that rows of bytes stand for, field by field."""
+    raw, names = column.cast(pa.large_binary()), optional_fields(x)
+    n = len(raw)
+    starts = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + n] if n else np.empty(0, np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    if raw.null_count or n and (data[starts] != version).any():
+        raise bad(f"another version than {version}")
+    at = starts + 1
+    width = (2 * len(names) + 7) // 8
+    mask = data[at[:, None] + np.arange(width)]
+    at, made = at + width, []
+    for name, f in x.items:
+        there = np.ones(n, bool)
+        if name in names:
+            k = names.index(name)
+            there = (mask[:, k // 4] >> (2 * (k % 4))) & 3 == 2
+        here = at[there]
+        if f.kind == "string":
+            lengths = data[here[:, None] + np.arange(4)].copy().view("<u4").reshape(-1).astype(np.int64)
+            body = data[placed(here + 4, lengths)]
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            own = pa.Array.from_buffers(pa.large_binary(), len(here), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.large_string())
+            at[there] += 4 + lengths
+        else:
+            form, size = FIXED[f.kind]
+            values = data[here[:, None] + np.arange(size)].copy().view(form).reshape(-1)
+            at[there] += size
+            own = pa.array(f.items).take(pa.array(values)) if f.kind == "enum" else pa.array(np.rint(values * 1000).astype(np.int64)).cast(pa.timestamp("us", "UTC")) if f.kind == "date" else pa.array(values == 1 if f.kind == "boolean" else values)
+        place = np.where(there, np.cumsum(there) - 1, 0)
+        spread = own.take(pa.array(place, mask=~there)) if len(own) else pa.nulls(n, own.type)
+        made.append(spread.cast(kind.field(name).type))
+    return pa.RecordBatch.from_arrays(made, schema=kind)
+
+
 @dataclass(frozen=True)
 class Codec:
     schema: Schema
@@ -210,7 +321,8 @@ class Codec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([self.encode_one(r) for r in b.to_pylist()], pa.binary())], ["bytes"])
+                made = encode_columns(self.schema, self.version, b) if columnar(self.schema) else pa.array([self.encode_one(r) for r in b.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([made], ["bytes"])
 
         return df.mapInArrow(run, "bytes binary")
 
@@ -224,6 +336,9 @@ class Codec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_pylist([self.decode_one(x) for x in b.column(0).to_pylist()], schema=arrow)
+                if columnar(self.schema):
+                    yield decode_columns(self.schema, self.version, b.column(0), arrow)
+                else:
+                    yield pa.RecordBatch.from_pylist([self.decode_one(x) for x in b.column(0).to_pylist()], schema=arrow)
 
         return df.select(F.col(column)).mapInArrow(run, kind)

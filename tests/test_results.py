@@ -1,14 +1,17 @@
 """Order of results, JSON text, pieces, folds, expressions, bytes, lists: each against plain Python."""
 
 import asyncio
+import datetime as dt
 import json
 import random
 import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataform.functions import text, values
 from strataform.functions.formats import from_javascript
@@ -223,6 +226,30 @@ def test_bytes_by_hand():
         own.encode_one(value | {"e": {"x": "no"}})
 
 
+def test_columns_are_packed_as_values_are():
+    """Batches go field by field, with the bytes and the values that rows have one by one; also slices and no rows."""
+    shape = s.object(a=s.int(), b=s.string().optional(), c=s.number().nullable(), d=s.boolean(), e=s.enum("x", "yy"), f=s.date().optional(), g=s.string(), h=s.int().nullish())
+    random.seed(1)
+    day, kind = dt.datetime(2024, 1, 1, 3, 4, 5, 678000, tzinfo=dt.timezone.utc), to_arrow_schema(shape.spark())
+    pick = random.choice
+    rows = [{"a": random.randint(-(2**31), 2**31 - 1), "b": pick([None, "", "é中"]), "c": pick([None, 1.5, float("inf")]), "d": pick([True, False]), "e": pick(["x", "yy"]), "f": pick([None, day]), "g": pick(["", "q", "😀"]), "h": pick([None, 7])} for _ in range(300)]
+    own = codec.Codec(shape, 9)
+    assert codec.columnar(shape) and not codec.columnar(s.object(a=s.array(s.int())))
+    for some in (rows, rows[:1], []):
+        batch = pa.RecordBatch.from_pylist(some, schema=kind)
+        made = codec.encode_columns(shape, 9, batch)
+        assert made.to_pylist() == [own.encode_one(r) for r in batch.to_pylist()]
+        for part in (slice(0, None), slice(3, 100)):
+            at, n = part.start, len(some[part])
+            assert codec.decode_columns(shape, 9, made.slice(at, n), kind).to_pylist() == batch.slice(at, n).to_pylist()
+            assert codec.encode_columns(shape, 9, batch.slice(at, n)).to_pylist() == made.to_pylist()[part]
+    for wrong in ({"a": 2**31}, {"e": "z"}, {"g": None}):
+        with pytest.raises(EngineError):
+            codec.encode_columns(shape, 9, pa.RecordBatch.from_pylist([rows[0] | wrong], schema=pa.schema([f.with_nullable(True) for f in kind])))
+    with pytest.raises(EngineError):
+        codec.decode_columns(shape, 8, codec.encode_columns(shape, 9, pa.RecordBatch.from_pylist(rows, schema=kind)), kind)
+
+
 def test_watched_list_and_callbacks(spark):
     row = lambda *ks: spark.createDataFrame([(k, f"v{k}") for k in ks] or [(0, "")], "k long, v string").where("true" if ks else "false")
     listed = snapshots.WatchedList(ordered(row(1, 2, 3), "k"), "k").add(row(4, 1)).remove(row(2, 4)).add(row(2))
