@@ -457,11 +457,13 @@ def hot_occurring(rows: DataFrame, order: int) -> list[int]:
     return out
 
 
-def hot_levels(rows: DataFrame, discount: dict[int, np.ndarray]) -> DataFrame:
+def hot_levels(rows: DataFrame, discount: dict[int, np.ndarray]) -> DataFrame | None:
     """(q, place, p): the recursion over all n-grams after hot tokens, by sums and joins."""
     for k in sorted(discount):
         context = [f"g{j}" for j in range(k - 1)]
-        own = rows.groupBy(*context, "w").agg(F.sum("c").alias("n"), F.max("p").alias("low"))
+        last = k == max(discount)
+        #: At the last level each row is an n-gram of its own.
+        own = rows.withColumnsRenamed({"c": "n", "p": "low"}) if last else rows.groupBy(*context, "w").agg(F.sum("c").alias("n"), F.max("p").alias("low"))
         by_count = F.array(*[F.lit(float(d)) for d in discount[k]])
         kept = by_count[F.least("n", F.lit(KEEP + 1)).cast("int")] * F.col("n")
         half = F.greatest(F.col("n") - F.lit(0.5), F.lit(0.0))
@@ -470,9 +472,10 @@ def hot_levels(rows: DataFrame, discount: dict[int, np.ndarray]) -> DataFrame:
         halves = ~(left > 1e-9)
         back = F.try_divide(F.when(halves, 1 - F.try_divide("s_half", "whole")).otherwise(left), 1 - F.col("under"))
         made = F.when(F.col("whole") == 0, F.col("low")).when(F.col("n") > 0, F.try_divide(F.when(halves, half).otherwise(kept), F.col("whole"))).otherwise(back * F.col("low"))
-        found = own.join(sums, context).select(*context, "w", made.alias("p"))
-        rows = written(rows.drop("p").join(found, [*context, "w"]), "hot")
-    return rows.select("q", "place", "p")
+        found = own.join(sums, context)
+        if last:
+            return found.select("q", "place", made.alias("p"))
+        rows = written(rows.drop("p").join(found.select(*context, "w", made.alias("p")), [*context, "w"]), "hot")
 
 
 def hot_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
