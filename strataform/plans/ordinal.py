@@ -93,13 +93,16 @@ def part_of(o: Ordered) -> Column:
     some = o.df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE_EACH * parts).orderBy("k")
     seen = [r["k"] for r in some.collect()]
     kinds = [o.df.schema[c].dataType for c in o.ord]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(seen[k * len(seen) // parts], kinds, o.ord, strict=True)]) for k in range(1, parts)] if len(seen) >= parts else []
+    at = [seen[k * len(seen) // parts] for k in range(1, parts)] if len(seen) >= parts else []
+    bounds = [[F.lit(v).cast(t).alias(c) for v, t, c in zip(x, kinds, o.ord, strict=True)] for x in at]
+    bounds = [F.struct(*x) if o.depth > 1 else x[0] for x in bounds]
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(key < bounds[middle], search(low, middle)).otherwise(search(middle + 1, high))
+        before = key < bounds[middle] if o.depth > 1 else F.coalesce(F.col(o.ord[0]) < bounds[middle], F.lit(True))  # NULL comes first
+        return F.when(before, search(low, middle)).otherwise(search(middle + 1, high))
 
     return search(0, len(bounds))
 
