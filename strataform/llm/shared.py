@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship  # noqa: F401  (the operators take it from here)
+
 #: In Python, texts are worked on in parts of so many bytes, whatever the size of an Arrow batch.
 PART_BYTES = 4 << 20
 #: A key with more than one in so many rows is hot, if it has more than ``HOT_LEAST``.
@@ -27,8 +26,6 @@ HOT_SHARE = 10_000
 HOT_LEAST = 1000
 #: So many short rows are sent to all tasks at most.
 SENT = 200_000
-PACKAGE = __name__.split(".")[0]
-_shipped: set[str] = set()
 _open: list[list[str]] = []
 
 
@@ -79,20 +76,6 @@ def written(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(prefix="strataform-code-"), f"{PACKAGE}.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{PACKAGE}/{p.relative_to(top)}")
-    sc.addPyFile(at)
-    _shipped.add(sc.applicationId)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built from ``names`` that ``df`` doesn't have, so that extra columns never clash."""
     taken = {c.lower() for c in df.columns}
