@@ -3,10 +3,18 @@ r"""The pipeline's near-copy stage: one document of each group whose five-word s
 Shingles. A text's words (A-Z lower-cased) give five-word shingles, told apart by XXH64; with fewer words the whole
 sequence is the shingle. Texts with equal sets of shingles become one node.
 
-Candidates. 128 minima give 32 bands of 4 and a sketch of 64 bits (one bit of each of the first 64 minima). Two nodes of
-a band are a candidate link if their sketches differ in at most ``APART`` bits. At a similarity of 0.8 a pair shares no
-band with a probability of 5e-8, and its sketches, 6.4 bits apart on average, are further apart than that with one of
-about 5e-7; both are less above 0.8. Links are compared by sketch, as a spanning forest (see ``simhash``).
+Candidates are operator 10's: SimHash fingerprints, the generalised pigeonhole over parts of correlated bits, thresholds by
+its dynamic programme, probes. The fingerprint is of the set of five-word shingles, so that its distance follows the
+similarity: 64 bits of XXH64, and 128 further bits of mixes of it. Two nodes whose 64 bits differ in at most ``MOST`` meet in
+some part, by the pigeonhole; those further apart often do. At a similarity of exactly 0.8 two fingerprints differ in 9.7 of
+64 bits on average: more than ``MOST`` with a probability of 0.006, and they meet in none of six parts of threshold 2 with
+one of 9e-5; both are less above 0.8. (For sets of 4 and 5 shingles, where ties weigh most: 0.04 and 0.001.) All are
+calculated. Nodes that meet are linked if the 64 bits differ in at most ``FIRST`` and all 192 in at most ``APART``, which
+random fingerprints do with a probability below 6e-10, so that groups of candidates stay small.
+
+Filing. A node is filed under the values within half a part's threshold, where any two within the threshold meet: 70 rows for
+six parts of threshold 2, at every size. A bucket of more than ``CUT`` members is cut into blocks, and every pair of blocks
+is a task's group.
 
 Verification. The texts of each group of candidates come together, and similarities are exact: of a group all pairs are
 compared, but for those that a verified link has joined already. A group of more than ``BLOCK`` nodes or ``BLOCK_BYTES``
@@ -28,18 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh, ship, thrifty, values, written
-from .simhash import BLOCK as BUCKET
-from .simhash import components, linked
+from .simhash import components, plan, signed, variants
 
 LEAST = (4, 5)  # of whole numbers, so that 0.8 is exact
 SHINGLE = 5
 SEED = 42
-BANDS, ROWS = 32, 4
-APART = 20
+MOST = 17
+PARTS = (4, 5, 6, 7)
+WORDS = 3
+FIRST, APART = 24, 54
+CUT = 1 << 16
+TILE = (128, 1 << 14)
 BLOCK = 512
 BLOCK_BYTES = 4 << 20
 _random = np.random.default_rng(SEED)
-FLIPS, FACTORS, MIX = (_random.integers(0, 1 << 64, n, np.uint64) | np.uint64(odd) for n, odd in ((BANDS * ROWS, 0), (BANDS * ROWS, 1), (BANDS * ROWS, 1)))
+FACTORS, MIX = (_random.integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in ((WORDS - 1) * 2, WORDS))
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -57,46 +68,122 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 1024):
-        made = own[k : k + 1024, None] ^ FLIPS
-        made *= FACTORS
-        np.minimum(out, made.min(axis=0), out=out)
-    return out
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WORDS`` numbers of 64 bits: a bit is set if over half of the shingles' hashes (the first word) or mixes of them have it."""
+    votes = np.zeros((WORDS, 64), np.int64)
+    for k in range(0, len(own), 4096):
+        part = own[k : k + 4096]
+        for w in range(WORDS):
+            mixed = part
+            for factor in FACTORS[2 * w - 2 : 2 * w] if w else ():
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * factor
+            mixed = mixed ^ (mixed >> np.uint64(29)) if w else mixed
+            votes[w] += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(own), axis=1, bitorder="little").view("<u8").ravel()
+
 
+def sketch_of(words: np.ndarray) -> np.ndarray:
+    """One signed number for each row of fingerprints' words; fingerprints that share one become one node of the candidates."""
+    return (words * MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
 
-def marks(text: bytes) -> tuple[int, int, np.ndarray]:
-    """Node, sketch and bands, as signed numbers."""
+
+def marks(text: bytes) -> tuple[int, np.ndarray]:
+    """Node, as a signed number, and the fingerprint's words."""
     own = shingles(text)
     if not len(own):
-        return 0, 0, np.empty(0, np.int64)
-    least = minima(own)
-    bits = (least[:64] >> np.uint64(20)).astype(np.uint8) & 1
-    bands = (least * MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-    node = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64)
-    return int(node.view(np.int64)[0]), int(np.packbits(bits, bitorder="little").view("<i8")[0]), bands.view(np.int64)
+        return 0, np.zeros(WORDS, np.uint64)
+    return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), fingerprint(own)
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., text as bytes last) to (..., node, sketch, bands)."""
+    """(..., text as bytes last) to (..., node, sketch, words)."""
     for b in batches:
         made = [marks(text or b"") for text in values(b.column(b.num_columns - 1))]
-        ends = np.cumsum([0, *(len(x[2]) for x in made)], dtype=np.int32)
-        flat = np.concatenate([x[2] for x in made]) if made else np.empty(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        columns = [*b.columns[:-1], pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64()), bands]
+        words = np.array([x[1] for x in made], np.uint64).reshape(-1, WORDS)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * WORDS), pa.array(words.ravel().view(np.int64)))
+        columns = [*b.columns[:-1], pa.array([x[0] for x in made], pa.int64()), pa.array(sketch_of(words)), listed]
         yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of each member a member of its group, never a greater one) with the groups of a[k] and b[k] joined."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((further := label[label]) != label).any():
+            label = further
+
+
+def met(words: np.ndarray) -> np.ndarray:
+    """Labels of what is linked; ``words`` has a row for each word and a column for each member of a bucket."""
+    size, loose = words.shape[1], True
+    label = np.arange(size)
+    for k in range(0, size - 1, TILE[0]):
+        for c in range(k, size, TILE[1]):
+            i, j = np.nonzero(np.bitwise_count(words[0, k : k + TILE[0], None] ^ words[0, None, c : c + TILE[1]]) <= FIRST)
+            some = c + j > k + i
+            i, j = k + i[some], c + j[some]
+            if not loose:
+                some = label[i] != label[j]
+                i, j = i[some], j[some]
+            apart = np.zeros(len(i), np.uint8)
+            for word in words:
+                apart += np.bitwise_count(word[i] ^ word[j])
+            near = apart <= APART
+            if near.any():
+                label, loose = unite(label, i[near], j[near]), False
+    return label
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, words), sorted by bucket, to links between sketches."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def close(columns: list[list[np.ndarray]]) -> None:
+        if sum(len(x) for x in columns[0]) > 1:
+            words = np.stack([np.concatenate(x) for x in columns]).view(np.uint64)
+            label = met(words)
+            own = np.flatnonzero(label != np.arange(len(label)))
+            u, v = sketch_of(words[:, own].T), sketch_of(words[:, label[own]].T)
+            found.append((np.maximum(u, v), np.minimum(u, v)))
+
+    def made() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (zip(*found, strict=True) if found else ((), ()))], schema=LINKS)
+        found.clear()
+        return out
+
+    bucket, held = None, [[] for _ in range(WORDS)]
+    for b in batches:
+        keys, *words = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if begin == end:
+                continue
+            if keys[begin] != bucket:
+                close(held)
+                bucket, held = keys[begin], [[] for _ in range(WORDS)]
+            for x, word in zip(held, words, strict=True):
+                x.append(word[begin:end])
+        yield made()
+    close(held)
+    yield made()
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """Links (u, v) between sketches; ``rows`` has ``sketch`` and ``bands``."""
-    filed = rows.select("sketch", F.explode("bands").alias("bucket"))
-    large = filed.groupBy("bucket").count().where(F.col("count") > BUCKET)
-    cut = filed.join(large, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BUCKET).cast("int"), F.lit(1)))
-    dealt = cut.select("sketch", spread("bucket", "sketch").alias("keys")).select(F.explode("keys").alias("bucket"), "sketch")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(thrifty(lambda batches: linked(batches, APART)), "u long, v long").distinct()
+    """Links (u, v) between sketches, those that connect what met and is near; ``rows`` has ``words``."""
+    names = [f"w{k}" for k in range(WORDS)]
+    nodes = written(rows.select(*[F.col("words")[k].alias(x) for k, x in enumerate(names)]).distinct(), "fingerprints")
+    parts = plan(nodes.withColumnRenamed("w0", "fp"), MOST, PARTS, halfway=True)
+    filed = [F.struct(F.lit(k).alias("part"), F.col("w0").bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(x)).alias("value")) for k, (mask, bits, t) in enumerate(parts) for x in variants(bits, (t + 1) // 2)]
+    dealt = nodes.select(*names, F.explode(F.array(*filed)).alias("x")).select(F.xxhash64("x.part", "x.value").alias("bucket"), *names)
+    large = dealt.groupBy("bucket").count().where(F.col("count") > CUT)
+    cut = dealt.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / CUT).cast("int"), F.lit(1)))
+    dealt = cut.select(F.explode(spread("bucket", F.struct(*names))).alias("bucket"), *names).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(thrifty(linked), "u long, v long").distinct()
 
 
 def spread(group: str, member: str):
@@ -147,20 +234,21 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links=candidates) -> DataFrame:
     """One row of each group of near copies, with all columns of ``docs``."""
     ship(docs.sparkSession)
-    row, node, sketch, bands = fresh(docs, "sf_row", "sf_node", "sf_sketch", "sf_bands")
+    row, node, sketch, words = fresh(docs, "sf_row", "sf_node", "sf_sketch", "sf_words")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     kinds = [f"c{k} {t}" for k, (_, t) in enumerate(rows.dtypes)] + [f"c{len(rows.columns) + k} {t}" for k, t in enumerate(("long", "long", "array<long>"))]
-    rows = rows.select("*", F.col(text_col).cast("string").cast("binary").alias(bands)).mapInArrow(thrifty(marked), ", ".join(kinds)).toDF(*rows.columns, node, sketch, bands)
+    rows = rows.select("*", F.col(text_col).cast("string").cast("binary").alias(words)).mapInArrow(thrifty(marked), ", ".join(kinds)).toDF(*rows.columns, node, sketch, words)
     store = written(rows, "rows")
     small = store.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(sketch).alias("sketch"), F.octet_length(F.col(text_col).cast("string")).alias("size"))
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = written(small.groupBy("node", "sketch").agg(F.min(best).alias("best"), F.min(F.struct("row", "size")).alias("first")), "nodes")
-    loose = components(links(store.select(F.col(sketch).alias("sketch"), F.col(bands).alias("bands")))).withColumnsRenamed({"node": "sketch", "root": "group"})
+    loose = components(links(store.select(F.col(words).alias("words")))).withColumnsRenamed({"node": "sketch", "root": "group"})
     grouped = written(nodes.join(loose, "sketch", "left").select("node", "first.*", F.coalesce("group", "sketch").alias("group")), "grouped")
     several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     members = written(grouped.join(several, "group").withColumn("blocks", blocks).select("row", "node", "group", "blocks"), "members")
-    texts = store.select(F.col(row).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")).join(members, "row")
+    #: Members grow with the table: a merge join at every size, as below.
+    texts = store.select(F.col(row).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text")).join(members.hint("merge"), "row")
     dealt = texts.select(F.explode(spread("group", "node")).alias("key"), "node", "text").repartition("key").sortWithinPartitions("key")
     edges = dealt.mapInArrow(thrifty(verified), "u long, v long").distinct()
     label = components(edges).withColumnRenamed("root", "class")

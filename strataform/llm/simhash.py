@@ -27,6 +27,7 @@ of equal doc_ids the one stored first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,11 @@ def balls(size: int, radius: int) -> int:
     return out
 
 
+def meetings(size: int, apart: int, radius: int) -> int:
+    """Values of ``size`` bits that are within ``radius`` of both of two values that differ in ``apart`` bits."""
+    return sum(comb(apart, i) * comb(size - apart, j) for i in range(min(apart, radius) + 1) for j in range(radius - i + 1) if apart - i + j <= radius and apart <= size)
+
+
 def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
     """costs[i][u]: of giving u units (threshold u - 1) to part i. The least total for exactly ``units``, and thresholds."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -156,14 +162,18 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
     return best[units]
 
 
-def plan(nodes: DataFrame, most: int = MOST) -> list[tuple[int, list[int], int]]:
-    """(mask, bits, threshold) of each part that is probed. ``nodes`` has the distinct fingerprints in ``fp``."""
+def plan(nodes: DataFrame, most: int = MOST, counts: tuple[int, ...] = (2, 3, 4), halfway: bool = False) -> list[tuple[int, list[int], int]]:
+    """(mask, bits, threshold) of each part that is probed. ``nodes`` has the distinct fingerprints in ``fp``.
+
+    ``counts``: how many parts are tried (7 at most). ``halfway``: nodes are filed under the values within half the threshold
+    (rounded up), where any two within the threshold meet, most of them several times.
+    """
     sums = {r["cell"]: r["n"] for r in nodes.select("fp").mapInArrow(thrifty(bit_sums), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     n = sums.get(4096, 0)
     both = np.array([sums.get(k, 0) for k in range(4096)], np.float64).reshape(64, 64)
     p = np.diag(both) / max(n, 1)
     odds = 2 * p * (1 - p) / np.maximum(p**2 + (1 - p) ** 2, 1e-12)  # of one bit: that two nodes differ in it, to that they agree
-    choices = {m: parts_of(both, n, m) for m in (2, 3, 4)}
+    choices = {m: parts_of(both, n, m) for m in counts}
     masks = {(m, k): signed(mask_of(bits)) for m, parts in choices.items() for k, bits in enumerate(parts)}
     filed = nodes.select(F.explode(F.array(*[F.struct(F.lit(m * 8 + k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for (m, k), mask in masks.items()])).alias("x")).select("x.*")
     agree = {r["part"]: r["pairs"] for r in filed.groupBy("part", "value").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
@@ -175,7 +185,9 @@ def plan(nodes: DataFrame, most: int = MOST) -> list[tuple[int, list[int], int]]
             for b in bits:  # elementary symmetric sums of the odds: exactly j bits differ
                 ways = [ways[j] + (odds[b] * ways[j - 1] if j else 0) for j in range(most + 1)]
             for t in range(most + 1):
-                row.append(pairs * sum(ways[: t + 1]) + PROBE_COST * n * balls(len(bits), t))
+                radius = (t + 1) // 2 if halfway else t
+                met = [meetings(len(bits), j, radius) if halfway else 1 for j in range(min(2 * radius if halfway else t, most) + 1)]
+                row.append(pairs * sum(x * y for x, y in zip(ways, met, strict=False)) + PROBE_COST * n * balls(len(bits), radius))
             costs.append(row)
         found.append((*allocate(costs, most + 1), m))
     _, thresholds, m = min(found)

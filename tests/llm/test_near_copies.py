@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from strataform.llm import near_copies
+from strataform.llm import near_copies, simhash
 
 from .conftest import ROWS
 
@@ -87,3 +88,58 @@ def test_group_links():
     a, b, c = (np.array(x, np.uint64) for x in (range(10), range(8), range(7)))
     assert near_copies.group_links([1, 2], [a, b]) == [(2, 1)]
     assert near_copies.group_links([1, 3], [a, c]) == []
+
+
+def test_fingerprint_of_the_set_of_shingles():
+    """The first word is SimHash over the XXH64 of different five-word shingles; repeats don't weigh."""
+    text = "a b c d e f g h " * 3 + "B c x y z"
+    hashes = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in brute_shingles(text)]
+    want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    assert int(near_copies.marks(text.encode())[1][0]) == want
+    assert near_copies.marks(b" \t")[1].tolist() == [0] * near_copies.WORDS
+
+
+def test_stage_goes_through_the_pigeonhole(spark, monkeypatch):
+    """Candidates come from operator 10's parts and thresholds, over the fingerprints of all texts."""
+    seen = []
+    monkeypatch.setattr(near_copies, "plan", lambda nodes, *a, **k: seen.append((nodes.count(), simhash.plan(nodes, *a, **k))) or seen[-1][1])
+    texts = [" ".join(f"w{k}-{j}" for j in range(30)) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts + [t + " more" for t in texts])]
+    got = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
+    assert seen[0][0] == 40 and sum(t + 1 for _, _, t in seen[0][1]) >= near_copies.MOST + 1
+
+
+@pytest.mark.parametrize("cut", [3, near_copies.CUT])
+def test_candidates(spark, monkeypatch, cut):
+    """Whatever is within ``MOST`` bits is joined, and nothing that isn't joined by pairs within the looser bounds."""
+    monkeypatch.setattr(near_copies, "CUT", cut)
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 1 << 64, near_copies.WORDS, np.uint64) for _ in range(150)]
+    for start in range(30):
+        for bits in (1, 9, 17) if start else range(18):
+            for first, most in ((True, bits), (False, bits)):
+                other = words[start].copy()
+                for k in rng.choice(64, most, False).tolist():
+                    other[0 if first else 1] ^= np.uint64(1 << k)
+                words.append(other)
+    for k in range(0, 48, 16):  # a chain whose ends are 48 bits apart
+        words.append(words[-1 if k else 149] ^ np.array([0xFFFF << k, 0, 0], np.uint64))
+    fps = np.unique(np.array(words), axis=0)
+    edges = near_copies.candidates(spark.createDataFrame([(x.view(np.int64).tolist(),) for x in fps], "words array<long>"))
+    label = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    ids = near_copies.sketch_of(fps).tolist()
+    got = np.array([label.get(x, x) for x in ids])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).astype(int)
+    sure = (apart[:, :, 0] <= near_copies.MOST) & (apart.sum(axis=2) <= near_copies.APART)
+    assert (got[:, None] == got[None])[sure].all()
+    loose = np.arange(len(fps))
+    loose = near_copies.unite(loose, *np.nonzero((apart[:, :, 0] <= near_copies.FIRST) & (apart.sum(axis=2) <= near_copies.APART)))
+    assert (loose[:, None] == loose[None])[got[:, None] == got[None]].all()
+
+
+def test_meetings():
+    for size, radius in ((5, 1), (7, 2), (4, 3)):
+        near = [x for x in range(1 << size) if x.bit_count() <= radius]
+        for apart in range(size + 1):
+            assert simhash.meetings(size, apart, radius) == sum((x ^ (1 << apart) - 1).bit_count() <= radius for x in near)
