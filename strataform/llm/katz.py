@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +75,10 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(b: bytes, kind: str = "<u8") -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, : b[0]] = raw.T
-    return out.reshape(-1).view(kind)
+    out = raw[0].astype("<u8")
+    for k in range(1, b[0]):
+        out |= raw[k].astype("<u8") << np.uint64(8 * k)
+    return out.view(kind)
 
 
 def figures(x: list) -> bytes:
@@ -113,12 +114,22 @@ def dealt(df: DataFrame, key: str, n: int, run: Callable, ddl: str) -> DataFrame
 # A chunk of documents
 
 
-class Numbers(dict):
-    """Numbers new keys as they come."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, the end token first; the number of each text's words in them, its end last; texts' lengths in tokens."""
+    lowered = [x.lower() for x in texts]  # of bytes: A-Z alone
+    raw = np.frombuffer(b" ".join([*lowered, b""]), np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    turns = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, stops = turns[::2], turns[1::2]
+    #: Without what separates them, the words are an Arrow array as they lie.
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(stops - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+    after = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in lowered]))
+    ids = np.insert(words.indices.to_numpy().astype(np.int64) + 1, after, 0)
+    seen = words.dictionary
+    _, bounds, data = seen.buffers()
+    blob, bounds = (data.to_pybytes(), np.frombuffer(bounds, np.int64, len(seen) + 1).tolist()) if len(seen) else (b"", [])
+    return [END, *(blob[i:j] for i, j in pairwise(bounds))], ids, np.diff(after, prepend=0) + 1
 
 
 def read_chunk(texts: list[bytes], trained: list[bool], slices: int) -> tuple[list[tuple], tuple]:
@@ -126,14 +137,7 @@ def read_chunk(texts: list[bytes], trained: list[bool], slices: int) -> tuple[li
 
     Words are numbered by slice, then by hash, so that answers laid end to end fit the numbers.
     """
-    seen = Numbers({END: 0})
-    parts, lengths = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        words = text.lower().split()  # of bytes: A-Z alone, and [\x20\x09-\x0D] alone
-        ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        parts += [ids, np.zeros(1, np.int64)]
-        lengths[k] = len(words) + 1
-    ids = np.concatenate(parts)
+    seen, ids, lengths = numbered(texts)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(map(digest, seen), np.uint64, len(seen))
     of = (hashes % np.uint64(slices)).astype(np.int64)
@@ -235,7 +239,7 @@ class Chunk:
         self.ends = np.cumsum(self.lengths)
         n, end = len(number), self.ids[-1]
         home = (mixed(number) % np.uint64(cold)).astype(np.int64)
-        by_number, by_home = np.argsort(number), np.lexsort((number, np.where(is_hot, 0, home), is_hot))
+        by_number, by_home = np.argsort(number), np.argsort(one_key([np.where(is_hot, cold, home), number]))
         place, spot = np.empty(n, np.int64), np.empty(n, np.int64)
         place[by_number] = spot[by_home] = np.arange(n)
         #: N-grams are numbered by the token before the last (cold ones first, by slice), the tokens before it, and the last.
@@ -272,6 +276,10 @@ class Chunk:
             self.slice[far] = cold + (scattered([x[far] for x in self.grams]) % np.uint64(max(hot, 1))).astype(np.int64)
         self.order = np.argsort(self.slice, kind="stable")
 
+    def places(self) -> np.ndarray:
+        """Each token's place in ``keys``."""
+        return grouped([self.key])[0]
+
 
 def gram_requests(slices: int, order: int, cold: int, hot: int):
     """Chunks and word answers to requests: n-grams, training times, and training counts of the distinct last words."""
@@ -283,7 +291,7 @@ def gram_requests(slices: int, order: int, cold: int, hot: int):
             first = np.flatnonzero(np.diff(of, prepend=-1))
             for i, j in zip(first, [*first[1:], len(of)], strict=True):
                 at = c.order[i:j]
-                _, one = np.unique(c.grams[-1][at], return_index=True)
+                _, one = grouped([c.grams[-1][at]])
                 rows.append((GRAM, m, int(of[i]), packed_grams([x[at] for x in c.grams]), pack(c.times[at]), pack(c.known[c.word[at[one]]])))
                 if len(rows) == AT_ONCE or j == len(of):
                     yield packed_rows(rows)
@@ -307,18 +315,41 @@ def unpacked_grams(b: bytes) -> list[np.ndarray]:
     return out
 
 
+def one_key(columns: list[np.ndarray]) -> np.ndarray:
+    """A whole number for each row, in the columns' order; columns too wide for 63 bits go by their values' ranks."""
+    width = lambda x: int(x.max(initial=0)).bit_length()
+    ranks = lambda x: np.unique(x, return_inverse=True)[1]
+    key, rest = columns[0], columns[1:]
+    for k, x in enumerate(rest):
+        if width(key) + sum(map(width, rest[k:])) > 63:
+            key = ranks(key)
+        if width(key) + width(x) > 63:
+            x = ranks(x)
+        key = (key << width(x)) | x
+    return key
+
+
 def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The number of each row's group of equal rows, in their order, and a row of each group."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for x in columns:
-        new[1:] |= np.diff(x[order]) != 0
+    key = one_key(columns)
+    order = None if (key[1:] >= key[:-1]).all() else np.argsort(key)
+    if order is not None:
+        key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    of = np.cumsum(new) - 1
+    if order is None:
+        return of, np.flatnonzero(new)
     ids = np.empty(len(order), np.int64)
-    ids[order] = np.cumsum(new) - 1
+    ids[order] = of
     return ids, order[new]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) != 0]
+
+
 GRAMS_DDL = "q int, hot boolean, grams binary, counts binary, known binary, askers array<long>, places array<binary>, of string"
 GRAMS = pa.schema([("q", pa.int32()), ("hot", pa.bool_()), ("grams", pa.binary()), ("counts", pa.binary()), ("known", pa.binary()), ("askers", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("of", pa.string())])
 
@@ -337,10 +368,10 @@ def gram_counts(order: int, cold: int):
         for q, rows in by_key(batches, 2):
             parts = [unpacked_grams(r[3]) for r in rows]
             sizes = [len(x[0]) for x in parts]
-            words = [np.unique(x[-1]) for x in parts]
+            words = [distinct(x[-1]) for x in parts]
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             del parts
-            _, one = np.unique(np.concatenate(words), return_index=True)
+            _, one = grouped([np.concatenate(words)])
             known = np.concatenate([unpack(r[5]) for r in rows])[one]
             ids, first = grouped(columns)
             count = np.bincount(ids, weights=np.concatenate([unpack(r[4]) for r in rows])).astype(np.int64)
@@ -520,7 +551,7 @@ def chunk_scores(slices: int, order: int, cold: int, hot: int, discount: np.ndar
             value[counted] = np.log10(discount[np.minimum(count[counted], KEEP + 1)] * count[counted] / whole[counted])
             own = np.empty_like(value)
             own[c.order] = value
-            token = own[np.searchsorted(c.keys, c.key)]
+            token = own[c.places()]
             single = np.log10((c.known + 1) / (n + v + 1))
             begins = c.ends - c.lengths
             made = [np.add.reduceat(x, begins) for x in ((c.known[c.ids] > 0).astype(np.int64), single[c.ids], token)]
