@@ -12,6 +12,11 @@ one of 9e-5; both are less above 0.8. (For sets of 4 and 5 shingles, where ties
 calculated. Nodes that meet are linked if the 64 bits differ in at most ``FIRST`` and all 192 in at most ``APART``, which
 random fingerprints do with a probability below 6e-10, so that groups of candidates stay small.
 
+Who takes part. A node with a near copy shares 0.8 of its shingles with it, so of its ``front`` (its least hashes) some lie in
+the copy's front as well. How many these are at least follows from its size alone; nodes with fewer hashes that any other
+node's front has are alone, and aren't filed. Nothing is lost by that (hashes are cut to ``FRONT_BYTES``, which can only let
+more nodes through), and most texts have no near copy, so what is filed and compared is a small part of the table.
+
 Filing. A node is filed under the values within half a part's threshold, where any two within the threshold meet: 70 rows for
 six parts of threshold 2, at every size. A bucket of more than ``CUT`` members is cut into blocks, and every pair of blocks
 is a task's group.
@@ -45,6 +50,9 @@ MOST = 17
 PARTS = (4, 5, 6, 7)
 WORDS = 3
 FIRST, APART = 24, 54
+#: A front has one in so many shingles more than it needs for one to be shared.
+SHARED = 10
+FRONT_BYTES = 5
 CUT = 1 << 16
 TILE = (128, 1 << 14)
 BLOCK = 512
@@ -87,24 +95,71 @@ def sketch_of(words: np.ndarray) -> np.ndarray:
     return (words * MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def marks(text: bytes) -> tuple[int, np.ndarray]:
-    """Node, as a signed number, and the fingerprint's words."""
+def front(own: np.ndarray) -> tuple[bytes, int]:
+    """The least hashes of a set, each as the top ``FRONT_BYTES``, and how many of them any near copy has in its own front.
+
+    Of sorted sets with ``both`` hashes in common, the k-th of these is among the first len(own) - both + k of each.
+    """
+    both = lambda n: -(-LEAST[0] * n // LEAST[1])
+    more = lambda n: min(max(-(-n // SHARED), 1), both(n))
+    least = own[: len(own) - both(len(own)) + more(len(own))]
+    return least.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :FRONT_BYTES].tobytes(), more(both(len(own)))
+
+
+def marks(text: bytes) -> tuple[int, np.ndarray, bytes, int]:
+    """Node, as a signed number, the fingerprint's words, and the front with what has to be shared of it."""
     own = shingles(text)
     if not len(own):
-        return 0, np.zeros(WORDS, np.uint64)
-    return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), fingerprint(own)
+        return 0, np.zeros(WORDS, np.uint64), b"", 0
+    return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), fingerprint(own), *front(own)
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., text as bytes last) to (..., node, sketch, words)."""
+    """(..., text as bytes last) to (..., node, sketch, words, front, need)."""
     for b in batches:
         made = [marks(text or b"") for text in values(b.column(b.num_columns - 1))]
         words = np.array([x[1] for x in made], np.uint64).reshape(-1, WORDS)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * WORDS), pa.array(words.ravel().view(np.int64)))
-        columns = [*b.columns[:-1], pa.array([x[0] for x in made], pa.int64()), pa.array(sketch_of(words)), listed]
+        columns = [*b.columns[:-1], pa.array([x[0] for x in made], pa.int64()), pa.array(sketch_of(words)), listed, pa.array([x[2] for x in made], pa.binary()), pa.array([x[3] for x in made], pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
 
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, front) to a row (hash, node) for each hash of a front."""
+    for b in batches:
+        for k in range(0, b.num_rows, 1024):
+            fronts = b.column(1).slice(k, 1024).to_pylist()
+            flat = np.frombuffer(b"".join(fronts), np.uint8).reshape(-1, FRONT_BYTES)
+            wide = np.zeros((len(flat), 8), np.uint8)
+            wide[:, 8 - FRONT_BYTES :] = flat
+            nodes = np.repeat(b.column(0).slice(k, 1024).to_numpy(), [len(x) // FRONT_BYTES for x in fronts])
+            yield pa.RecordBatch.from_arrays([pa.array(wide.view(">i8").ravel().astype(np.int64)), pa.array(nodes, pa.int64())], ["hash", "node"])
+
+
+def met_elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, node), sorted by both, to the node of each whose hash another node has too."""
+    held, shared = (np.empty(0, np.int64), np.empty(0, np.int64)), None  # rows of one node that may be alone; the hash known not to be
+    for b in batches:
+        keys, nodes = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True))
+        if not len(keys):
+            continue
+        begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        ends = np.append(begins[1:], len(keys))
+        several = nodes[begins] != nodes[ends - 1]
+        several[0] |= shared is not None and keys[0] == shared
+        shared = keys[-1] if several[-1] else None
+        held = (np.empty(0, np.int64), np.empty(0, np.int64)) if several[-1] else (keys[begins[-1] :], nodes[begins[-1] :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[np.repeat(several, ends - begins)])], ["node"])
+
+
+def perhaps_copied(marked: DataFrame) -> DataFrame:
+    """(words) of all nodes but those that, by their fronts, have no near copy; ``marked`` has node, words, front and need."""
+    rows = marked.select("node", "front").mapInArrow(thrifty(opened), "hash long, node long")
+    met = rows.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(thrifty(met_elsewhere), "node long").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    #: Both sides grow with the table: a merge join at every size.
+    return marked.select("node", "need", "words").join(met.hint("merge"), "node").where("n >= need").select("words")
+
+
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``label`` (of each member a member of its group, never a greater one) with the groups of a[k] and b[k] joined."""
     while True:
@@ -234,15 +289,16 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links=candidates) -> DataFrame:
     """One row of each group of near copies, with all columns of ``docs``."""
     ship(docs.sparkSession)
-    row, node, sketch, words = fresh(docs, "sf_row", "sf_node", "sf_sketch", "sf_words")
+    row, node, sketch, words, least, need = fresh(docs, "sf_row", "sf_node", "sf_sketch", "sf_words", "sf_front", "sf_need")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    kinds = [f"c{k} {t}" for k, (_, t) in enumerate(rows.dtypes)] + [f"c{len(rows.columns) + k} {t}" for k, t in enumerate(("long", "long", "array<long>"))]
-    rows = rows.select("*", F.col(text_col).cast("string").cast("binary").alias(words)).mapInArrow(thrifty(marked), ", ".join(kinds)).toDF(*rows.columns, node, sketch, words)
+    kinds = [f"c{k} {t}" for k, (_, t) in enumerate(rows.dtypes)] + [f"c{len(rows.columns) + k} {t}" for k, t in enumerate(("long", "long", "array<long>", "binary", "int"))]
+    rows = rows.select("*", F.col(text_col).cast("string").cast("binary").alias(words)).mapInArrow(thrifty(marked), ", ".join(kinds)).toDF(*rows.columns, node, sketch, words, least, need)
     store = written(rows, "rows")
     small = store.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(sketch).alias("sketch"), F.octet_length(F.col(text_col).cast("string")).alias("size"))
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = written(small.groupBy("node", "sketch").agg(F.min(best).alias("best"), F.min(F.struct("row", "size")).alias("first")), "nodes")
-    loose = components(links(store.select(F.col(words).alias("words")))).withColumnsRenamed({"node": "sketch", "root": "group"})
+    some = perhaps_copied(store.select(F.col(node).alias("node"), F.col(words).alias("words"), F.col(least).alias("front"), F.col(need).alias("need")))
+    loose = components(links(some)).withColumnsRenamed({"node": "sketch", "root": "group"})
     grouped = written(nodes.join(loose, "sketch", "left").select("node", "first.*", F.coalesce("group", "sketch").alias("group")), "grouped")
     several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")

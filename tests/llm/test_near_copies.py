@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -143,3 +144,42 @@ def test_meetings():
         near = [x for x in range(1 << size) if x.bit_count() <= radius]
         for apart in range(size + 1):
             assert simhash.meetings(size, apart, radius) == sum((x ^ (1 << apart) - 1).bit_count() <= radius for x in near)
+
+
+def test_texts_alone_are_not_filed(spark, monkeypatch):
+    """Texts that share too little for a near copy never come to the pigeonhole; all that have one do."""
+    seen = []
+    monkeypatch.setattr(near_copies, "plan", lambda nodes, *a, **k: seen.append(nodes.count()) or simhash.plan(nodes, *a, **k))
+    line = " ".join(f"common{j}" for j in range(10))
+    texts = [f"{line} " + " ".join(f"w{k}-{j}" for j in range(60)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts + [t + " more" for t in texts[:5]])]
+    got = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(40))
+    assert seen == [10]
+
+
+def test_fronts():
+    """Of any two sets at 0.8 or more, each has what it needs of its front in the other's."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 99, 100, 101, 1000]:
+        for _ in range(5):
+            whole = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            apart = rng.permutation(n)[: n // 5]
+            cut = int(rng.integers(0, len(apart) + 1))
+            a, b = np.delete(whole, apart[:cut]), np.delete(whole, apart[cut:])
+            (x, x_need), (y, y_need) = near_copies.front(a), near_copies.front(b)
+            parts = lambda f: {f[k : k + near_copies.FRONT_BYTES] for k in range(0, len(f), near_copies.FRONT_BYTES)}
+            assert len(parts(x) & parts(y)) >= max(x_need, y_need) >= 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_met_elsewhere(size):
+    """Whatever the batches, a row counts if its hash has another node."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(h), int(n)) for h, n in zip(rng.integers(0, 25, 80), rng.integers(0, 3, 80), strict=True))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.int64()) for k in (0, 1)], ["hash", "node"])
+    got = [n for b in near_copies.met_elsewhere(batch(rows[k : k + size]) for k in range(0, len(rows), size)) for n in b.column(0).to_pylist()]
+    assert sorted(got) == sorted(n for h, n in rows if len({m for g, m in rows if g == h}) > 1)
+    pair = near_copies.front(np.arange(1, 6, dtype=np.uint64) << np.uint64(40))[0], b""
+    made = pa.RecordBatch.from_arrays([pa.array([7, 8], pa.int64()), pa.array(pair, pa.binary())], ["node", "front"])
+    assert pa.Table.from_batches(near_copies.opened([made])).to_pydict() == {"hash": [1 << 16, 2 << 16], "node": [7, 7]}
