@@ -21,7 +21,10 @@ def keyed(o: Ordered, key: str) -> Ordered:
     """The last row of each key, in the place of the key's first."""
     o.need()
     both = o.df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*o.fields), F.struct(*o.ord)).alias("_r"), F.min(F.struct(*o.ord)).alias("_p"))
-    return Ordered(both.select("_r.*", *[F.col(f"_p.{c}").alias(c) for c in o.ord]), o.depth)
+    #: The key itself, where grouping leaves it as it is, so that what is joined by it next is neither shuffled nor sorted again.
+    own = F.col("_k") if dict(o.df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "date", "boolean") else F.col(f"_r.{key}")
+    fields = [own.alias(c) if c == key else F.col(f"_r.{c}").alias(c) for c in o.fields]
+    return Ordered(both.select(*fields, *[F.col(f"_p.{c}").alias(c) for c in o.ord]), o.depth)
 
 
 def index(o: Ordered, key: str) -> DataFrame:

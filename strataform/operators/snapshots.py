@@ -86,7 +86,10 @@ class WatchedList:
         both = cur.select(F.col(self.key).alias("_k"), F.struct(*self.fields).alias("current")).join(self.current.select(F.col(self.key).alias("_k"), F.struct(*self.fields).alias("previous")), "_k")
         same = self.compare_items(F.col("previous"), F.col("current"))
         self.changed = both.where(~same).select("previous", "current")
-        self.add(cur).remove(self._without(self.current, cur))
+        #: As ``add`` of what came and ``remove`` of what went (a null key never goes), without their joins of joins.
+        came, gone = self._without(cur, self.current), self._without(self.current, cur).where(F.col(self.key).isNotNull())
+        new, removed = self._without(came, self.removed), self._without(gone, self.new)
+        self.new, self.removed = self._without(self.new, gone).unionByName(new), self._without(self.removed, cur).unionByName(removed)
         self.current = cur.select(*self.fields)
         return self
 

@@ -280,3 +280,15 @@ def test_a_store_that_tells_later():
     store.dispose()
     later.pop()()
     assert len(events) == 1
+
+
+def test_update_of_a_watched_list(spark):
+    """As adding and removing one after the other, null keys too; and each result of a fresh list is one join."""
+    row = lambda *ks: spark.createDataFrame([(k, f"v{k}") for k in ks], "k int, v string").coalesce(1)
+    listed = snapshots.WatchedList(ordered(row(1, 2, 3, 4, None), "k"), "k").add(row(5, 6, None)).remove(row(1, 2)).update(ordered(row(2, 3, 6, 7, None), "k"))
+    assert sorted(r["v"] for r in listed.new.collect()) == ["v6", "v7", "vNone", "vNone"]
+    assert sorted(r["v"] for r in listed.removed.collect()) == ["v1", "v4"]
+    fresh = snapshots.WatchedList(ordered(row(1, 2, 3), "k"), "k").update(ordered(row(2, 3, 4), "k"))
+    for df in (fresh.new, fresh.removed, fresh.changed):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [r["k"] for r in fresh.new.collect()] == [4] and [r["k"] for r in fresh.removed.collect()] == [1] and fresh.changed.isEmpty()
