@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import two_valued
 from ..plans.errors import invalid_query
-from ..plans.ordinal import BLOCK, Ordered, blocked, numbered
+from ..plans.ordinal import BLOCK, Ordered, blocked, checkpointed, numbered
 
 
 def count_of(n: int, least: int) -> int:
@@ -104,13 +104,19 @@ def scan(o: Ordered, fold: str, field: str, initial: Any = None, block: int = BL
 
 
 def fold_in_order(o: Ordered, initial: Any, update: Callable[[Any, dict], Any], kind: str) -> Ordered:
-    """(value): any running fold. It needs each row's predecessor, so all rows go through one task in order."""
+    """(value): any running fold. It needs each row's predecessor, so all rows go through one task in order.
+
+    They are sorted in parallel and written in the shared folder before, so that this task only reads part after part.
+    """
     o.need()
     fields = o.fields
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, n = initial, 0
+        state, n, at = initial, 0, 0
         for part in parts:
+            if len(part) and (part["_p"].iloc[0] < at or not part["_p"].is_monotonic_increasing):
+                raise RuntimeError("sorted parts came out of their order")
+            at = part["_p"].iloc[-1] if len(part) else at
             values = []
             for row in part[fields].to_dict("records"):
                 state = update(state, row)
@@ -118,7 +124,8 @@ def fold_in_order(o: Ordered, initial: Any, update: Callable[[Any, dict], Any],
             yield pd.DataFrame({"value": values, "_o0": range(n, n + len(values))})
             n += len(values)
 
-    return Ordered(o.df.orderBy(*o.ord).coalesce(1).mapInPandas(run, f"value {kind}, _o0 long"), 1)
+    rows = checkpointed(o.df.orderBy(*o.ord).select(*fields, F.spark_partition_id().alias("_p")))
+    return Ordered(rows.coalesce(1).mapInPandas(run, f"value {kind}, _o0 long"), 1)
 
 
 def group_adjacent(o: Ordered, key: str, block: int = BLOCK) -> Ordered:

@@ -292,3 +292,16 @@ def test_update_of_a_watched_list(spark):
     for df in (fresh.new, fresh.removed, fresh.changed):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert [r["k"] for r in fresh.new.collect()] == [4] and [r["k"] for r in fresh.removed.collect()] == [1] and fresh.changed.isEmpty()
+
+
+def test_own_fold_sorts_before_its_task(spark):
+    """The one task that folds reads parts that lie sorted; it doesn't sort them itself."""
+    n = 5000
+    rows = spark.range(n).select(F.col("id").alias("k"), F.xxhash64("id").alias("h")).repartition(7, "h")
+    made = sequence.fold_in_order(ordered(rows, "k"), 1, lambda state, row: (state * 31 + row["k"]) % 1009, "long")
+    assert "Sort" not in made.df._jdf.queryExecution().executedPlan().toString()
+    state, want = 1, []
+    for k in range(n):
+        state = (state * 31 + k) % 1009
+        want.append((k, state))
+    assert [(r["_o0"], r["value"]) for r in made.df.orderBy("_o0").collect()] == want
