@@ -305,3 +305,17 @@ def test_own_fold_sorts_before_its_task(spark):
         state = (state * 31 + k) % 1009
         want.append((k, state))
     assert [(r["_o0"], r["value"]) for r in made.df.orderBy("_o0").collect()] == want
+
+
+def test_short_numbers_need_no_formatting(spark, monkeypatch):
+    """Up to 15 digits with an exponent come from Java's own text; the slow way isn't taken for them."""
+    monkeypatch.setattr(jsonio.F, "format_string", lambda *_: F.lit("9e+99"))
+    random.seed(9)
+    cases = [float(f"{random.randrange(1, 10 ** random.randint(1, 15))}e{random.choice([*range(-60, -18), *range(7, 60)])}") for _ in range(300)]
+    cases += [1e-7, 0.000171, 1.5e22, 2e23, 1e15, 1e21, 123456789012345e7, 1e300, 9.5e-299]
+    rows = spark.createDataFrame([(x,) for x in cases], "x double").select("x", jsonio.number_text(F.col("x")), F.col("x").cast("string")).collect()
+    short = [(x, t) for x, t, java in rows if len(java.split("E")[0]) <= 16]  # before 19, Java writes a few (2e23) in more digits
+    assert len(short) > len(cases) - 10
+    for x, t in short:
+        assert float(t) == x and ("e" in t) == (not 1e-6 <= x < 1e21)
+        assert re.sub(r"e.*|[-.]", "", t).strip("0") == re.sub(r"e.*|[-.]", "", repr(x)).strip("0")
